@@ -1,5 +1 @@
 """Commit-history analytics on Spark DataFrames."""
-
-from commitlens.session import configure, cut, session
-
-__all__ = ["configure", "cut", "session"]

@@ -56,13 +56,20 @@ def _names_a_test_id(name: Column) -> Column:
 
 def _camel_prefixes(base: Column) -> Column:
     """Prefixes that end before an upper-case letter, longest first."""
-    shortest = fixed.SHORTEST_CANDIDATE
-    ends = F.when(
-        F.length(base) > shortest,
-        F.reverse(F.sequence(F.lit(shortest + 1), F.length(base))),
-    ).otherwise(F.array().cast("array<int>"))
-    upper = F.filter(ends, lambda i: F.substr(base, i, F.lit(1)).rlike(r"\p{Lu}"))
-    return F.transform(upper, lambda i: F.substr(base, F.lit(1), i - 1))
+
+    def prefixes(words: Column) -> Column:
+        counts = F.reverse(F.sequence(F.lit(1), F.size(words) - 1))
+        return F.filter(
+            F.transform(counts, lambda n: F.array_join(F.slice(words, 1, n), "")),
+            lambda prefix: F.length(prefix) >= fixed.SHORTEST_CANDIDATE,
+        )
+
+    return let(
+        F.split(base, r"(?<=.)(?=\p{Lu})"),
+        lambda words: F.when(F.size(words) > 1, prefixes(words)).otherwise(
+            F.array().cast("array<string>")
+        ),
+    )
 
 
 def production_candidates(test_class: Column, terms: list[str]) -> Column:

@@ -63,23 +63,24 @@ def commit_stats(changes: DataFrame) -> DataFrame:
 
 def file_events(changes: DataFrame) -> DataFrame:
     """ADD, RENAME and DELETE of Java files; other changes carry no event."""
-    new, old, kind = F.col("new_path"), F.col("old_path"), F.col("change_type")
-    arrives = paths.is_java_file(new) & ~paths.is_excluded(new)
-    kept = (
-        ((kind == "ADD") & arrives)
-        | ((kind == "RENAME") & old.isNotNull() & arrives)
-        | ((kind == "DELETE") & paths.is_java_file(old))
-    )
-    return changes.where(kept).select(
-        "repo",
-        *ORDER,
-        "commit_hash",
-        "commit_date",
-        F.coalesce("author", F.lit("Unknown")).alias("author"),
-        kind.alias("type"),
-        F.when(kind == "DELETE", old).otherwise(new).alias("path"),
-        F.when(kind == "RENAME", old).alias("old_path"),
-        F.when(kind == "ADD", F.coalesce("added_lines", F.lit(0))).alias("lines"),
+    kind, path = F.col("change_type"), F.col("path")
+    renamed_or_not = (kind != "RENAME") | F.col("old_path").isNotNull()
+    return (
+        changes.where(kind.isin("ADD", "RENAME", "DELETE"))
+        .withColumn("path", F.when(kind == "DELETE", F.col("old_path")).otherwise(F.col("new_path")))
+        .where(paths.is_java_file(path) & renamed_or_not)
+        .where((kind == "DELETE") | ~paths.is_excluded(path))
+        .select(
+            "repo",
+            *ORDER,
+            "commit_hash",
+            "commit_date",
+            F.coalesce("author", F.lit("Unknown")).alias("author"),
+            kind.alias("type"),
+            "path",
+            F.when(kind == "RENAME", F.col("old_path")).alias("old_path"),
+            F.when(kind == "ADD", F.coalesce("added_lines", F.lit(0))).alias("lines"),
+        )
     )
 
 
@@ -313,7 +314,7 @@ def describe_files(files: DataFrame, projects: list[str] | tuple[str, ...] = ())
     )
     candidates = F.when(
         F.col("is_test"),
-        names.merged_candidates(F.concat(F.array("class_name"), "class_names"), terms),
+        names.merged_candidates(F.array_union(F.array("class_name"), "class_names"), terms),
     ).otherwise(F.array("class_name"))
     return named.withColumn("candidates", candidates).withColumn(
         "base_class",

@@ -258,21 +258,21 @@ def size_mean_median(
     )
 
 
+def commit_index(commits: DataFrame) -> DataFrame:
+    """Position of each commit of its repository by date and hash, from 0."""
+    numbered = number_rows(commits, ["repository"], ["commit_date", "commit_hash"], "_n")
+    return numbered.withColumn("commit_index", F.col("_n") - 1).drop("_n")
+
+
 def scatter_data(commits: DataFrame, outliers: DataFrame, repository: str) -> DataFrame:
     """Commits of one repository in date order with their outlier flags."""
     flags = outliers.where(F.col("repository") == repository).select(
         "commit_hash", "out_due_to_lines", "out_due_to_files"
     )
     own = commits.where(F.col("repository") == repository)
-    numbered = number_rows(
-        own.join(flags, "commit_hash", "left"),
-        ["repository"],
-        ["commit_date", "commit_hash"],
-        "commit_index",
-    )
-    return numbered.select(
+    return commit_index(own.join(flags, "commit_hash", "left")).select(
         "repository",
-        (F.col("commit_index") - 1).alias("commit_index"),
+        "commit_index",
         "commit_hash",
         "commit_date",
         "total_lines_added",

@@ -37,8 +37,39 @@ def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+def _path_names(spark: SparkSession) -> DataFrame:
+    """The text of every path code; a fixed 12 * 8 * 2 * 12 * 3 rows.
+
+    Rows of the history carry the code, so path text is put together once
+    per code and not in every filter on a path.
+    """
+    code = F.col("id")
+    t, q = code % 3, F.expr("id div 3") % 12
+    is_test = F.expr("id div 36") % 2 == 1
+    supp, part = F.expr("id div 72") % 8, F.expr("id div 576")
+    before = F.concat(
+        F.lit("mod"),
+        supp % 2,
+        F.when(is_test, "/src/test/java/").otherwise("/src/main/java/"),
+        _pick(PACKAGES, F.floor(supp / 2)),
+        F.when(is_test & (q == 2), "/Test").otherwise("/"),
+        _pick(CLASSES, part),
+    )
+    after = (
+        F.when(~is_test, ".java")
+        .when(q % 6 == 3, "Tests.java")
+        .when(q % 6 == 4, "TestCase.java")
+        .when(q % 6 == 5, "IT.java")
+        .otherwise("Test.java")
+    )
+    return spark.range(12 * 576).select(
+        code.alias("path_code"),
+        F.concat(before, _pick(GENERATIONS, t), after).alias("now"),
+        F.concat(before, _pick(GENERATIONS, (t + 1) % 3), after).alias("next"),
+    )
+
+
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
     d = F.expr("cast(round(l_discount * 100) as int)")
@@ -56,58 +87,43 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr("datediff(l_shipdate, date '1970-01-01')"),
         )
     )
-    is_test = F.col("l_linenumber") % 2 == 1
-    before = F.concat(
-        F.lit("mod"),
-        F.col("l_suppkey") % 2,
-        F.when(is_test, "/src/test/java/").otherwise("/src/main/java/"),
-        _pick(PACKAGES, F.floor((F.col("l_suppkey") % 8) / 2)),
-        F.when(is_test & (q % 12 == 2), "/Test").otherwise("/"),
-        _pick(CLASSES, F.col("l_partkey") % 12),
-    )
-    after = (
-        F.when(~is_test, ".java")
-        .when(q % 6 == 3, "Tests.java")
-        .when(q % 6 == 4, "TestCase.java")
-        .when(q % 6 == 5, "IT.java")
-        .otherwise("Test.java")
+    code = (
+        ((F.col("l_partkey") % 12 * 8 + F.col("l_suppkey") % 8) * 2 + F.col("l_linenumber") % 2)
+        * 12
+        + q % 12
+    ) * 3 + t % 3
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        code.alias("path_code"),
+        (
+            F.col("l_linenumber").cast("bigint") * LINE_STEP
+            + F.conv(F.substring(rest, 1, 13), 16, 10).cast("bigint")
+        ).alias("change_seq"),
+        d.alias("d"),
+        q.cast("bigint").alias("added_lines"),
     )
-    kind = F.col("change_type")
+    now, following = F.col("now"), F.col("next")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(_path_names(spark), "path_code")
         .select(
             F.concat(F.lit("repo_"), "c_nationkey").alias("repo"),
             F.expr(
                 f"datediff(o_orderdate, date '1970-01-01') * {SEQ_STEP}L + o_orderkey"
             ).alias("commit_seq"),
-            (
-                F.col("l_linenumber").cast("bigint") * LINE_STEP
-                + F.conv(F.substring(rest, 1, 13), 16, 10).cast("bigint")
-            ).alias("change_seq"),
+            "change_seq",
             F.md5(F.concat(F.lit("c"), "o_orderkey")).alias("commit_hash"),
             F.col("o_orderdate").alias("commit_date"),
             F.col("c_name").alias("author"),
-            F.when(d == 10, "DELETE")
-            .when(d == 9, "RENAME")
-            .when(d >= 5, "MODIFY")
+            F.when(F.col("d") == 10, "DELETE")
+            .when(F.col("d") == 9, "RENAME")
+            .when(F.col("d") >= 5, "MODIFY")
             .otherwise("ADD")
             .alias("change_type"),
-            F.concat(before, _pick(GENERATIONS, t % 3), after).alias("_now"),
-            F.concat(before, _pick(GENERATIONS, (t + 1) % 3), after).alias("_next"),
-            q.cast("bigint").alias("added_lines"),
-        )
-        .select(
-            "repo",
-            "commit_seq",
-            "change_seq",
-            "commit_hash",
-            "commit_date",
-            "author",
-            "change_type",
-            F.when(kind != "ADD", F.col("_now")).alias("old_path"),
-            F.when(kind == "RENAME", F.col("_next"))
-            .when(kind != "DELETE", F.col("_now"))
+            F.when(F.col("d") >= 5, now).alias("old_path"),
+            F.when(F.col("d") == 9, following)
+            .when(F.col("d") != 10, now)
             .alias("new_path"),
             "added_lines",
         )
