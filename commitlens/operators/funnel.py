@@ -174,10 +174,16 @@ def top_n(df: DataFrame, column: str, n: int = 10, tie: str = "repo") -> DataFra
     return df.orderBy(F.desc_nulls_last(column), tie).limit(n)
 
 
-def categorize(meta: DataFrame, keywords=None, language: str | None = "Java") -> DataFrame:
+def categorize(
+    meta: DataFrame,
+    keywords=None,
+    language: str | None = "Java",
+    keep: list[str] | None = None,
+) -> DataFrame:
     """Keyword category of each repository and a snippet of its description."""
     kept = meta if language is None else meta.where(F.col("language") == language)
     return kept.select(
+        *(keep or []),
         F.col("name").alias("project"),
         category(full_text(F.col("name"), F.col("description")), keywords).alias("category"),
         F.substring(F.coalesce("description", F.lit("")), 1, 50).alias("description_snippet"),

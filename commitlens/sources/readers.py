@@ -12,9 +12,21 @@ from commitlens.functions.values import parse_utc
 from commitlens.operators.funnel import combine
 
 
-def scan_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """CSV with a header; columns are found by position of the schema."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(paths)
+def scan_csv(
+    spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = False
+) -> DataFrame:
+    """CSV whose header holds the columns of ``schema``, in that order.
+
+    ``multi_line`` is for text with line breaks; such a file is not split.
+    """
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .csv(paths)
+    )
 
 
 def scan_csv_dates(
