@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
+from commitlens.functions.paths import let
 
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
 
@@ -55,10 +56,40 @@ def yes_no(flag: Column) -> Column:
 
 
 def keyword_pattern(words) -> str:
-    """Whole words, any case, Unicode letters."""
+    """Whole words or phrases, any case, Unicode letters."""
     return r"(?iU)\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
+def keyword_hits(text: Column, keywords: dict[str, tuple[str, ...]], body) -> Column:
+    """``body`` of a function that gives the keyword hits of a category.
+
+    The text is cut into words once and looked up in all categories.  Only
+    where it holds a phrase (or a keyword with signs in it) is the pattern of
+    that category run, as a phrase takes its words along.
+    """
+    lowered = F.lower(text)
+    plain = {
+        c: [w.lower() for w in words if re.fullmatch(r"\w+", w)] for c, words in keywords.items()
+    }
+    every = sorted({w for words in plain.values() for w in words})
+    words = F.split(lowered, r"[^\p{L}\p{N}_]+")
+
+    def hits(found: Column, name: str) -> Column:
+        count = F.size(F.filter(found, lambda w: w.isin(*plain[name])))
+        phrases = [w.lower() for w in keywords[name] if w.lower() not in plain[name]]
+        for phrase in phrases:
+            pattern = F.lit(keyword_pattern(keywords[name]))
+            count = F.when(lowered.contains(phrase), F.regexp_count(text, pattern)).otherwise(
+                count
+            )
+        return count
+
+    return let(
+        F.filter(words, lambda w: w.isin(*every)),
+        lambda found: body(lambda name: hits(found, name)),
+    )
+
+
 def category(text: Column, keywords=None, decisive: str = fixed.RETIRED) -> Column:
     """Category with most keyword hits; the first listed wins a tie.
 
@@ -66,23 +97,27 @@ def category(text: Column, keywords=None, decisive: str = fixed.RETIRED) -> Colu
     """
     keywords = keywords or fixed.CATEGORY_KEYWORDS
     scored = [name for name in keywords if name != decisive]
-    # The larger the score the better, then the earlier the category.
-    scores = F.array_max(
-        F.array(
-            *[
-                F.struct(
-                    F.regexp_count(text, F.lit(keyword_pattern(keywords[name]))).alias("hits"),
-                    F.lit(-rank).alias("rank"),
-                    F.lit(name).alias("name"),
-                )
-                for rank, name in enumerate(scored)
-            ]
+
+    def choose(hits) -> Column:
+        # The larger the score the better, then the earlier the category.
+        best = F.array_max(
+            F.array(
+                *[
+                    F.struct(
+                        hits(name).alias("hits"),
+                        F.lit(-rank).alias("rank"),
+                        F.lit(name).alias("name"),
+                    )
+                    for rank, name in enumerate(scored)
+                ]
+            )
         )
-    )
-    best = F.when(scores["hits"] > 0, scores["name"])
-    if decisive in keywords:
-        return F.when(text.rlike(keyword_pattern(keywords[decisive])), decisive).otherwise(best)
-    return best
+        winner = let(best, lambda b: F.when(b["hits"] > 0, b["name"]))
+        if decisive in keywords:
+            return F.when(hits(decisive) > 0, decisive).otherwise(winner)
+        return winner
+
+    return keyword_hits(text, keywords, choose)
 
 
 def full_text(name: Column, description: Column) -> Column:

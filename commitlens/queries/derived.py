@@ -70,38 +70,29 @@ def _path_names(spark: SparkSession) -> DataFrame:
 
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # Orders grow with the lines, so they are never broadcast.
+    orders = (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_custkey", "o_orderdate")
+        .hint("merge")
+    )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
     d = F.expr("cast(round(l_discount * 100) as int)")
     t = F.expr("cast(round(l_tax * 100) as int)")
     q = F.expr("cast(l_quantity as int)")
-    rest = F.md5(
-        F.concat_ws(
-            "|",
-            "l_partkey",
-            "l_suppkey",
-            q,
-            F.expr("cast(round(l_extendedprice * 100) as bigint)"),
-            d,
-            t,
-            F.expr("datediff(l_shipdate, date '1970-01-01')"),
-        )
-    )
+    cents = F.expr("cast(round(l_extendedprice * 100) as bigint)")
+    shipped = F.expr("datediff(l_shipdate, date '1970-01-01')")
     code = (
         ((F.col("l_partkey") % 12 * 8 + F.col("l_suppkey") % 8) * 2 + F.col("l_linenumber") % 2)
         * 12
         + q % 12
     ) * 3 + t % 3
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        q.alias("q"), cents.alias("cents"), d.alias("d"), t.alias("t"), shipped.alias("shipped"),
         code.alias("path_code"),
-        (
-            F.col("l_linenumber").cast("bigint") * LINE_STEP
-            + F.conv(F.substring(rest, 1, 13), 16, 10).cast("bigint")
-        ).alias("change_seq"),
-        d.alias("d"),
-        q.cast("bigint").alias("added_lines"),
     )
+    rest = F.md5(F.concat_ws("|", "l_partkey", "l_suppkey", "q", "cents", "d", "t", "shipped"))
     now, following = F.col("now"), F.col("next")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -112,7 +103,10 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(
                 f"datediff(o_orderdate, date '1970-01-01') * {SEQ_STEP}L + o_orderkey"
             ).alias("commit_seq"),
-            "change_seq",
+            (
+                F.col("l_linenumber").cast("bigint") * LINE_STEP
+                + F.conv(F.substring(rest, 1, 13), 16, 10).cast("bigint")
+            ).alias("change_seq"),
             F.md5(F.concat(F.lit("c"), "o_orderkey")).alias("commit_hash"),
             F.col("o_orderdate").alias("commit_date"),
             F.col("c_name").alias("author"),
@@ -125,7 +119,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("d") == 9, following)
             .when(F.col("d") != 10, now)
             .alias("new_path"),
-            "added_lines",
+            F.col("q").cast("bigint").alias("added_lines"),
         )
     )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from commitlens.functions import fixed
 from commitlens.functions.names import generic_terms
-from commitlens.functions.values import keyword_pattern  # noqa: F401
+
 from commitlens.queries import derived
 
 

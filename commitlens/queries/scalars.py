@@ -140,8 +140,8 @@ def category_sql(text: str, keywords=None, decisive: str = fixed.RETIRED) -> str
     words do not have to share one.
     """
     keywords = keywords or fixed.CATEGORY_KEYWORDS
-    wide = f"regexp_replace(' ' || {text} || ' ', '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1\\1', 'g')"
-    apart = "[^\\p{L}\\p{M}\\p{N}_]"
+    wide = f"regexp_replace(' ' || {text} || ' ', '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
+    apart = "[^\\p{L}\\p{N}_]"
 
     def hits(words):
         alternatives = "|".join(w.replace(" ", "  ") for w in words)
