@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from commitlens.functions import fixed
 from commitlens.functions.values import percent, ratio, to_number_or_zero
 from commitlens.operators.ranking import group_quantiles
+from commitlens.session import cut
 
 SIZES = {"lines": "total_lines_added", "files": "total_files_count"}
 
@@ -66,13 +67,15 @@ def outlier_commits(flagged: DataFrame) -> DataFrame:
 
 def commits_with_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     """Commits of repositories that have pairs; the others are not judged."""
-    return commits.join(pairs.select("repository").distinct(), "repository", "left_semi")
+    known = cut(pairs.select("repository").distinct(), "repositories")
+    return commits.join(known, "repository", "left_semi")
 
 
-def relabel_pairs(pairs: DataFrame, flagged: DataFrame) -> DataFrame:
+def relabel_pairs(pairs: DataFrame, flagged: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Pairs of one outlier commit become SAME_COMMIT_OUTLIER.
 
-    The flag stays null for other pairs and in repositories without commits.
+    The flag stays null for other pairs and in repositories without
+    thresholds, which are those without commits.
     """
     outliers = (
         flagged.where("is_outlier")
@@ -80,7 +83,7 @@ def relabel_pairs(pairs: DataFrame, flagged: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
-    judged = flagged.select("repository").distinct().withColumn("_judged", F.lit(True))
+    judged = thresholds.select("repository", F.lit(True).alias("_judged"))
     same = F.col("classification") == "SAME_COMMIT"
     return (
         pairs.join(outliers, ["repository", "test_commit"], "left")

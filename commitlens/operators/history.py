@@ -46,19 +46,31 @@ def first_n_commits(changes: DataFrame, n: int) -> DataFrame:
     return first_per_key(commits, ["repo"], [F.col("commit_seq")], n)
 
 
-def commit_stats(changes: DataFrame) -> DataFrame:
-    """Lines, files and Java files of each commit; all files count."""
+def _totals() -> list[Column]:
     java = (
         paths.is_java_file(F.coalesce("new_path", F.lit("")))
         | paths.is_java_file(F.coalesce("old_path", F.lit("")))
     ) & F.col("change_type").isNotNull()
-    return changes.groupBy("repo", "commit_hash").agg(
-        F.min("commit_date").alias("commit_date"),
-        F.min(F.coalesce("author", F.lit("Unknown"))).alias("author"),
+    return [
         F.sum(F.coalesce("added_lines", F.lit(0))).alias("total_lines"),
         F.count("*").alias("files_count"),
         F.count_if(java).alias("java_files_count"),
-    )
+    ]
+
+
+def commit_stats(changes: DataFrame) -> DataFrame:
+    """Lines, files and Java files of each commit; all files count.
+
+    Date and author belong to the commit; as grouping columns they keep this
+    a hash aggregation, where the minimum of a text would sort every row.
+    """
+    author = F.coalesce("author", F.lit("Unknown")).alias("author")
+    return changes.groupBy("repo", "commit_hash", "commit_date", author).agg(*_totals())
+
+
+def commit_totals(changes: DataFrame) -> DataFrame:
+    """The same totals keyed by commit only, to look up."""
+    return changes.groupBy("repo", "commit_hash").agg(*_totals())
 
 
 def file_events(changes: DataFrame) -> DataFrame:
@@ -225,11 +237,12 @@ def build_files(changes: DataFrame, projects: list[str] | tuple[str, ...] = ())
     backward = cut(rename_edges(events, "backward"), "backward")
     forward = cut(rename_edges(events, "forward"), "forward")
     chains = rename_chains(events, backward, forward)
-    stats = commit_stats(changes).select(
-        "repo", "commit_hash", "total_lines", "files_count", "java_files_count"
-    )
     return files_from_chains(
-        chains, effective_additions(events), deletions(events, forward), stats, projects
+        chains,
+        effective_additions(events),
+        deletions(events, forward),
+        commit_totals(changes),
+        projects,
     )
 
 
@@ -237,7 +250,7 @@ def files_from_chains(
     chains: DataFrame,
     additions: DataFrame,
     deleted: DataFrame,
-    stats: DataFrame,
+    totals: DataFrame,
     projects: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
     steps = chains.select(
@@ -289,7 +302,7 @@ def files_from_chains(
         )
     )
     described = describe_files(files, projects)
-    return described.join(stats, ["repo", "commit_hash"], "left").select(
+    return described.join(totals, ["repo", "commit_hash"], "left").select(
         *described.columns,
         F.coalesce("total_lines", F.lit(0)).alias("commit_lines"),
         F.coalesce("files_count", F.lit(0)).alias("commit_files"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import paths
 from commitlens.functions.values import hours_between
+from commitlens.session import cut
 
 SAME, SIMILAR, DIFFERENT = 0, 1, 2
 METHODS = (
@@ -175,7 +176,7 @@ def make_pairs(files: DataFrame, matches: DataFrame) -> DataFrame:
 
 def unmatched_tests(files: DataFrame, matches: DataFrame) -> DataFrame:
     """Tests without a pair, in repositories that have production files."""
-    with_prods = files.where("not is_test").select("repo").distinct()
+    with_prods = cut(files.where("not is_test").select("repo").distinct(), "repositories")
     none = F.size("candidates") == 0
     return (
         files.where("is_test and not is_helper")

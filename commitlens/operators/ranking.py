@@ -67,21 +67,23 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact quantiles per key with linear interpolation, one column each.
 
-    Equal values are counted before the shuffle.  A running count over
-    magnitude classes finds the class that holds each wanted rank, and only
-    the values of those classes are ordered, so neither a key nor a frequent
-    value is ever gathered in one task.  Nulls and NaN are left out; column
-    ``n`` holds the number of values.
+    Equal values are counted before the shuffle, in the only pass over the
+    rows.  A running count over magnitude classes finds the class that holds
+    each wanted rank, and only the values of those classes are ordered, so
+    neither a key nor a frequent value is ever gathered in one task.  Nulls
+    and NaN are left out; column ``n`` holds the number of values.
     """
     names = list(probabilities)
-    counts = (
+    counts = cut(
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("_c"))
-        .withColumn("_class", _magnitude(F.col("_v")))
+        .withColumn("_class", _magnitude(F.col("_v"))),
+        "counts",
     )
-    by_class = Window.partitionBy(*keys).orderBy("_class")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    by_class = Window.partitionBy(*keys).orderBy("_class").rowsBetween(*so_far)
     classes = (
         counts.groupBy(*keys, "_class")
         .agg(F.sum("_c").alias("_c"))
@@ -111,7 +113,7 @@ def group_quantiles(
         .where(F.size("_ranks") > 0)
         .select(*keys, "_class", "_before", "n", "_ranks")
     )
-    inside = Window.partitionBy(*keys, "_class").orderBy("_v")
+    inside = Window.partitionBy(*keys, "_class").orderBy("_v").rowsBetween(*so_far)
     found = (
         counts.join(wanted, [*keys, "_class"])
         .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))

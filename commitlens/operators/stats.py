@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions.values import to_bool, to_number
 from commitlens.operators.ranking import group_quantiles, number_rows
+from commitlens.session import cut
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 METRICS = {
@@ -34,20 +35,26 @@ def numbers(columns: list[str]) -> dict[str, Column]:
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and share of each value, null included."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
-    total = df.select(F.count("*").alias("total")).scalar()
+    total = counts.select(F.sum("count").alias("total")).scalar()
     return counts.select("value", "count", (F.col("count") / total).alias("proportion"))
 
 
 def numeric_stats(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min and max, one row per column."""
     keys = keys or []
-    return melt(df, keys, numbers(columns)).groupBy(*keys, "metric").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std_dev"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+
+    def all_of(x: Column, name: str) -> Column:
+        return F.struct(
+            F.count(x).alias("count"),
+            F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std_dev"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+        ).alias(name)
+
+    # One pass over the rows; only its result is turned into rows per column.
+    wide = df.groupBy(*keys).agg(*[all_of(x, c) for c, x in numbers(columns).items()])
+    return melt(wide, keys, {c: F.col(c) for c in columns}).select(*keys, "metric", "value.*")
 
 
 def describe_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,15 +77,22 @@ def column_stats_transposed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def flag_adoption(df: DataFrame, flags: list[str]) -> DataFrame:
     """How many rows have each flag set, features as rows."""
-    long = melt(df, [], {f: F.col(f).cast("boolean") for f in flags})
-    counts = long.groupBy("metric").agg(
-        F.count_if(~F.col("value")).alias("no"), F.count_if(F.col("value")).alias("yes")
+
+    def count(flag: Column) -> Column:
+        # A feature nobody has (or everybody) leaves that cell empty.
+        return F.nullif(F.count_if(flag), F.lit(0))
+
+    wide = df.agg(
+        *[
+            F.struct(
+                count(~F.col(f).cast("boolean")).alias("no"),
+                count(F.col(f).cast("boolean")).alias("yes"),
+            ).alias(f)
+            for f in flags
+        ]
     )
-    # A feature nobody has (or everybody) leaves that cell empty.
-    return counts.select(
-        F.col("metric").alias("feature"),
-        F.when(F.col("no") > 0, F.col("no")).alias("no"),
-        F.when(F.col("yes") > 0, F.col("yes")).alias("yes"),
+    return melt(wide, [], {f: F.col(f) for f in flags}).select(
+        F.col("metric").alias("feature"), "value.*"
     )
 
 
@@ -112,21 +126,21 @@ def box_stats(
     if fences:
         wanted |= {"low_fence": fences[0], "high_fence": fences[1]}
     values = df.select(*keys, to_number(F.col(value)).alias("_x")).where(F.col("_x").isNotNull())
-    boxes = group_quantiles(values, keys, "_x", wanted)
+    # Written down, so the join with all values knows how small they are.
+    boxes = cut(group_quantiles(values, keys, "_x", wanted), "boxes")
     if not fences:
         reach = (F.col("q3") - F.col("q1")) * 1.5
         boxes = boxes.withColumn("low_fence", F.col("q1") - reach).withColumn(
             "high_fence", F.col("q3") + reach
         )
     # The mean and whiskers need one look at the values against the fences.
-    joined = values.join(boxes, keys) if keys else values.join(boxes)
+    joined = values.join(boxes, keys)
     inside = joined.groupBy(*keys).agg(
         F.avg("_x").alias("mean"),
         F.min(F.when(F.col("_x") >= F.col("low_fence"), F.col("_x"))).alias("_low"),
         F.max(F.when(F.col("_x") <= F.col("high_fence"), F.col("_x"))).alias("_high"),
     )
-    result = boxes.join(inside, keys) if keys else boxes.join(inside)
-    return result.select(
+    return boxes.join(inside, keys).select(
         *keys,
         "n",
         "mean",

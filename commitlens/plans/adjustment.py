@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from commitlens.functions import fixed
 from commitlens.operators import adjust
+from commitlens.session import cut
 
 
 @dataclass
@@ -28,9 +29,10 @@ def adjust_pairs(
 ) -> Adjustment:
     """All tables of the adjustment from the written commits and pairs."""
     judged = adjust.commits_with_pairs(commits, pairs)
-    thresholds = adjust.quantile_thresholds(judged, q_lines, q_files)
+    # Written down, so the join with all commits knows how small they are.
+    thresholds = cut(adjust.quantile_thresholds(judged, q_lines, q_files), "thresholds")
     flagged = adjust.flag_commits(judged, thresholds)
-    adjusted = adjust.relabel_pairs(pairs, flagged)
+    adjusted = adjust.relabel_pairs(pairs, flagged, thresholds)
     return Adjustment(
         thresholds,
         flagged,

@@ -236,9 +236,8 @@ def write_chunks(t):
     listed = shortlist.shortlist(t.candidates).withColumn("_down", -F.col("test_ratio"))
     parts = funnel.chunks(listed, ["_down", "repo"]).drop("_down")
     writers.write_chunks(parts, path)
-    schema = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name != "part"
-    )
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name != "part"]
+    schema = ", ".join([*columns, "part int"])
     return readers.scan_csv(t.spark, path, schema).select("repo", "java_files", "part")
 
 

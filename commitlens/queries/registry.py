@@ -67,14 +67,11 @@ class Tables:
 
     @cached_property
     def files(self) -> DataFrame:
-        stats = self.commit_stats.select(
-            "repo", "commit_hash", "total_lines", "files_count", "java_files_count"
-        )
         found = history.files_from_chains(
             self.chains,
             history.effective_additions(self.events),
             history.deletions(self.events, self.forward),
-            stats,
+            history.commit_totals(self.changes),
             derived.PROJECTS,
         )
         return cut(found, "files")
