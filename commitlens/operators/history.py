@@ -46,31 +46,22 @@ def first_n_commits(changes: DataFrame, n: int) -> DataFrame:
     return first_per_key(commits, ["repo"], [F.col("commit_seq")], n)
 
 
-def _totals() -> list[Column]:
-    java = (
-        paths.is_java_file(F.coalesce("new_path", F.lit("")))
-        | paths.is_java_file(F.coalesce("old_path", F.lit("")))
-    ) & F.col("change_type").isNotNull()
-    return [
-        F.sum(F.coalesce("added_lines", F.lit(0))).alias("total_lines"),
-        F.count("*").alias("files_count"),
-        F.count_if(java).alias("java_files_count"),
-    ]
-
-
 def commit_stats(changes: DataFrame) -> DataFrame:
     """Lines, files and Java files of each commit; all files count.
 
     Date and author belong to the commit; as grouping columns they keep this
     a hash aggregation, where the minimum of a text would sort every row.
     """
+    java = (
+        paths.is_java_file(F.coalesce("new_path", F.lit("")))
+        | paths.is_java_file(F.coalesce("old_path", F.lit("")))
+    ) & F.col("change_type").isNotNull()
     author = F.coalesce("author", F.lit("Unknown")).alias("author")
-    return changes.groupBy("repo", "commit_hash", "commit_date", author).agg(*_totals())
-
-
-def commit_totals(changes: DataFrame) -> DataFrame:
-    """The same totals keyed by commit only, to look up."""
-    return changes.groupBy("repo", "commit_hash").agg(*_totals())
+    return changes.groupBy("repo", "commit_hash", "commit_date", author).agg(
+        F.sum(F.coalesce("added_lines", F.lit(0))).alias("total_lines"),
+        F.count("*").alias("files_count"),
+        F.count_if(java).alias("java_files_count"),
+    )
 
 
 def file_events(changes: DataFrame) -> DataFrame:
@@ -231,8 +222,13 @@ def rename_chains(events: DataFrame, backward: DataFrame, forward: DataFrame) ->
     )
 
 
-def build_files(changes: DataFrame, projects: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """One row per file identity, keyed by its final path."""
+def build_files(
+    changes: DataFrame, commits: DataFrame, projects: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per file identity, keyed by its final path.
+
+    ``commits`` are the commit_stats of the same changes.
+    """
     events = cut(file_events(changes), "events")
     backward = cut(rename_edges(events, "backward"), "backward")
     forward = cut(rename_edges(events, "forward"), "forward")
@@ -241,7 +237,7 @@ def build_files(changes: DataFrame, projects: list[str] | tuple[str, ...] = ())
         chains,
         effective_additions(events),
         deletions(events, forward),
-        commit_totals(changes),
+        commits,
         projects,
     )
 
@@ -250,7 +246,7 @@ def files_from_chains(
     chains: DataFrame,
     additions: DataFrame,
     deleted: DataFrame,
-    totals: DataFrame,
+    commits: DataFrame,
     projects: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
     steps = chains.select(
@@ -302,6 +298,9 @@ def files_from_chains(
         )
     )
     described = describe_files(files, projects)
+    totals = commits.select(
+        "repo", "commit_hash", "total_lines", "files_count", "java_files_count"
+    )
     return described.join(totals, ["repo", "commit_hash"], "left").select(
         *described.columns,
         F.coalesce("total_lines", F.lit(0)).alias("commit_lines"),

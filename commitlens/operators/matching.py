@@ -222,32 +222,6 @@ def inventory_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def match_counts(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs, unmatched files and shared production files per repository."""
-    per_prod = pairs.groupBy("repo", "prod_file").agg(F.count("*").alias("tests"))
-    matched = per_prod.groupBy("repo").agg(
-        F.sum("tests").alias("matched_pairs"),
-        F.count("*").alias("matched_prods"),
-        F.count_if(F.col("tests") > 1).alias("multi_test_prods"),
-    )
-    both = (F.col("test_files") > 0) & (F.col("prod_files") > 0)
-
-    def count(name: str) -> Column:
-        return F.coalesce(name, F.lit(0))
-
-    return inventory_counts(files).join(matched, "repo", "left").select(
-        "repo",
-        count("matched_pairs").alias("matched_pairs"),
-        count("multi_test_prods").alias("multi_test_prods"),
-        F.when(both, F.col("real_tests") - count("matched_pairs"))
-        .otherwise(0)
-        .alias("unmatched_tests"),
-        F.when(both, F.col("prod_files") - count("matched_prods"))
-        .otherwise(0)
-        .alias("unmatched_prods"),
-    )
-
-
 CLASSES = {
     "test_first_count": "TEST_FIRST",
     "same_commit_count": "SAME_COMMIT",
@@ -261,6 +235,48 @@ STATUSES = {
 }
 
 
+def pair_counters(pairs: DataFrame) -> DataFrame:
+    """All counters of a repository's pairs in one pass.
+
+    Counted per production file first, which tells the shared ones and
+    leaves a large repository in many parts.
+    """
+    kinds = {
+        **{n: F.col("classification") == v for n, v in CLASSES.items()},
+        **{n: F.col("pair_status") == v for n, v in STATUSES.items()},
+        "deleted_pairs": F.col("pair_status") != "ACTIVE",
+    }
+    per_prod = pairs.groupBy("repo", "prod_file").agg(
+        F.count("*").alias("tests"), *[F.count_if(c).alias(n) for n, c in kinds.items()]
+    )
+    return per_prod.groupBy("repo").agg(
+        F.sum("tests").alias("matched_pairs"),
+        F.count("*").alias("matched_prods"),
+        F.count_if(F.col("tests") > 1).alias("multi_test_prods"),
+        *[F.sum(n).alias(n) for n in kinds],
+    )
+
+
+def match_counts(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Inventory, pairs, unmatched and shared files per repository.
+
+    Nothing counts as unmatched in a repository that lacks tests or
+    production files, as nothing is matched there.
+    """
+    both = (F.col("test_files") > 0) & (F.col("prod_files") > 0)
+    counted = inventory_counts(files).join(pair_counters(pairs), "repo", "left").na.fill(0)
+    return counted.withColumns(
+        {
+            "unmatched_tests": F.when(
+                both, F.col("real_tests") - F.col("matched_pairs")
+            ).otherwise(0),
+            "unmatched_prods": F.when(
+                both, F.col("prod_files") - F.col("matched_prods")
+            ).otherwise(0),
+        }
+    )
+
+
 def classification_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("repo").agg(
         *[F.count_if(F.col("classification") == v).alias(n) for n, v in CLASSES.items()]

@@ -101,7 +101,9 @@ def group_quantiles(
             )
         ]
     )
-    wanted = (
+    # A few rows per key, written down so that their size is known: while it
+    # is small, the counts are filtered in place instead of being shuffled.
+    wanted = cut(
         classes.withColumn(
             "_ranks",
             F.filter(
@@ -111,7 +113,8 @@ def group_quantiles(
             ),
         )
         .where(F.size("_ranks") > 0)
-        .select(*keys, "_class", "_before", "n", "_ranks")
+        .select(*keys, "_class", "_before", "n", "_ranks"),
+        "ranks",
     )
     inside = Window.partitionBy(*keys, "_class").orderBy("_v").rowsBetween(*so_far)
     found = (

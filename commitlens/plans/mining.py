@@ -22,16 +22,12 @@ COUNTERS = (
 
 @dataclass
 class Analysis:
-    """Tables of one analysis.  Files and matches are written down once."""
+    """Tables of one analysis.  Commits, files and matches are written once."""
 
-    changes: DataFrame
+    commits: DataFrame
     files: DataFrame
     matches: DataFrame
 
-    @property
-    def commits(self) -> DataFrame:
-        return history.commit_stats(self.changes)
-
     @property
     def pairs(self) -> DataFrame:
         return matching.make_pairs(self.files, self.matches)
@@ -42,45 +38,28 @@ class Analysis:
 
     @property
     def summary(self) -> DataFrame:
-        return repo_summary(self.changes, self.files, cut(self.pairs, "pairs"))
+        return repo_summary(self.commits, self.files, self.pairs)
 
 
 def analyze(changes: DataFrame, projects: list[str] | tuple[str, ...] = ()) -> Analysis:
-    files = cut(history.build_files(changes, projects), "files")
-    return Analysis(changes, files, cut(matching.best_matches(files), "matches"))
+    """Two passes over the changes: one for commits, one for file events."""
+    commits = cut(history.commit_stats(changes), "commits")
+    files = cut(history.build_files(changes, commits, projects), "files")
+    return Analysis(commits, files, cut(matching.best_matches(files), "matches"))
 
 
-def repo_summary(changes: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
+def repo_summary(commits: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
     """All counters of a repository; one without files or pairs has zeros."""
-    # One row per commit first: the distinct count of a large repository is
-    # then spread over its commits.
-    commits = (
-        changes.select("repo", "commit_hash")
-        .distinct()
-        .groupBy("repo")
-        .agg(F.count("*").alias("total_commits"))
+    totals = commits.groupBy("repo").agg(F.count("*").alias("total_commits"))
+    counted = matching.match_counts(files, pairs).withColumnsRenamed(
+        {
+            "test_files": "test_files_added",
+            "prod_files": "prod_files_added",
+            "unmatched_tests": "unmatched_test_files",
+            "unmatched_prods": "unmatched_prod_files",
+        }
     )
-    counted = matching.match_counts(files, pairs)
-    parts = [
-        matching.inventory_counts(files).select(
-            "repo",
-            F.col("test_files").alias("test_files_added"),
-            "test_helpers",
-            F.col("prod_files").alias("prod_files_added"),
-        ),
-        counted.select(
-            "repo",
-            "matched_pairs",
-            "multi_test_prods",
-            F.col("unmatched_tests").alias("unmatched_test_files"),
-            F.col("unmatched_prods").alias("unmatched_prod_files"),
-        ),
-        matching.classification_counts(pairs),
-        matching.pair_status_counts(pairs),
-    ]
-    for part in parts:
-        commits = commits.join(part, "repo", "left")
-    counters = commits.na.fill(0, list(COUNTERS))
+    counters = totals.join(counted, "repo", "left").na.fill(0, list(COUNTERS))
     total = F.col("matched_pairs")
     return counters.select(
         "repo",

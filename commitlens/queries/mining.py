@@ -67,7 +67,7 @@ def filter_repo_list(t):
 
 @query("commit_stats", sql("SELECT * FROM commit_stats", "commit_stats"))
 def commit_stats(t):
-    return t.commit_stats
+    return history.commit_stats(t.changes)
 
 
 @query("file_events", sql(f"SELECT {EVENT_COLUMNS} FROM file_events", "file_events"))
@@ -284,7 +284,9 @@ def file_inventory_counts(t):
         FROM counters""", "summary"),
 )
 def match_counts(t):
-    return matching.match_counts(t.files, t.pairs)
+    return matching.match_counts(t.files, t.pairs).select(
+        "repo", "matched_pairs", "multi_test_prods", "unmatched_tests", "unmatched_prods"
+    )
 
 
 @query(

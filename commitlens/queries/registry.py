@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from commitlens.operators import history, matching
 from commitlens.plans import adjustment, mining, shortlist
 from commitlens.queries import derived
-from commitlens.session import cut, shared_folder
+from commitlens.session import cut, scratch_path, shared_folder
 from commitlens.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +38,7 @@ class Tables:
         return derived.table(self.spark, self.sf_dir, name)
 
     def scratch(self, label: str) -> str:
-        return f"{shared_folder(self.spark)}/commitlens/{label}-{uuid.uuid4().hex}"
+        return scratch_path(self.spark, label)
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -47,7 +46,7 @@ class Tables:
 
     @cached_property
     def commit_stats(self) -> DataFrame:
-        return history.commit_stats(self.changes)
+        return cut(history.commit_stats(self.changes), "commits")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -71,7 +70,7 @@ class Tables:
             self.chains,
             history.effective_additions(self.events),
             history.deletions(self.events, self.forward),
-            history.commit_totals(self.changes),
+            self.commit_stats,
             derived.PROJECTS,
         )
         return cut(found, "files")
@@ -79,7 +78,7 @@ class Tables:
     @cached_property
     def analysis(self) -> mining.Analysis:
         matches = cut(matching.best_matches(self.files), "matches")
-        return mining.Analysis(self.changes, self.files, matches)
+        return mining.Analysis(self.commit_stats, self.files, matches)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -87,11 +86,11 @@ class Tables:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return mining.repo_summary(self.changes, self.files, self.pairs)
+        return mining.repo_summary(self.commit_stats, self.files, self.pairs)
 
     @cached_property
     def commits_table(self) -> DataFrame:
-        return cut(writers.commits_table(self.commit_stats), "commits")
+        return writers.commits_table(self.commit_stats)
 
     @cached_property
     def pairs_table(self) -> DataFrame:

@@ -57,6 +57,12 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     column pruning and gives later joins a true size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/commitlens/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, under the name of this application."""
+    owner = f"commitlens-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark).rstrip('/')}/{owner}/{label}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens import schemas
-from commitlens.operators import history
+from commitlens.operators import history, matching
 from commitlens.plans import mining
 
 
@@ -92,7 +92,8 @@ class Model:
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_files_agree_with_sequential_reading(spark, seed):
     rows = random_rows(seed)
-    files = history.build_files(changes_frame(spark, rows)).collect()
+    changes = changes_frame(spark, rows)
+    files = history.build_files(changes, history.commit_stats(changes)).collect()
     for repo in ("r0", "r1", "r2"):
         model = Model(rows, repo)
         want = {
@@ -230,3 +231,27 @@ def test_invariants_of_matching(spark):
     assert total.matched_pairs == total.active_pairs + total.deleted_pairs
     tests = analysis.files.where("is_test and not is_helper and repo = 'r'").count()
     assert tests == analysis.pairs.count() + analysis.unmatched.count()
+
+
+def test_popular_class_does_not_spell_out_its_pairs(spark):
+    """4,000 tests and 4,000 production files of one class name."""
+    n = 4000
+    prods = spark.range(n).selectExpr(
+        "concat('m/src/main/java/o/a/p', id, '/Hot.java') as new_path", "id as change_seq"
+    )
+    tests = spark.range(n).selectExpr(
+        "concat('m/src/test/java/o/a/p', id + 2000, '/HotTest.java') as new_path",
+        "id + 10000 as change_seq",
+    )
+    changes = prods.unionByName(tests).selectExpr(
+        "'r' as repo", "1L as commit_seq", "change_seq", "'c' as commit_hash",
+        "timestamp '2020-01-01' as commit_date", "'ann' as author", "'ADD' as change_type",
+        "cast(null as string) as old_path", "new_path", "1L as added_lines",
+    )
+    analysis = mining.analyze(changes)
+    assert matching.candidate_matches(analysis.files).count() <= 3 * n
+    methods = analysis.matches.groupBy("method").count().orderBy("method").collect()
+    # p2000 to p3999 share a package; the others fall back on the first file.
+    assert [tuple(r) for r in methods] == [(0, 2000), (2, 2000)]
+    far = analysis.matches.where("method = 2").select("prod_file").distinct().collect()
+    assert [r[0] for r in far] == ["m/src/main/java/o/a/p0/Hot.java"]
