@@ -12,6 +12,7 @@ from commitlens.operators.ranking import first_per_key
 from commitlens.session import cut
 
 ORDER = ("commit_seq", "change_seq")
+STEPS_PER_ROUND = 2
 
 
 def _when() -> Column:
@@ -148,36 +149,43 @@ def rename_edges(events: DataFrame, direction: str) -> DataFrame:
     )
 
 
+def _step(walking: DataFrame, edges: DataFrame) -> DataFrame:
+    """One edge further; walks that have ended stay where they are."""
+    ahead = edges.select(F.col("repo").alias("_repo"), F.col("src").alias("_src"), "dst")
+    goes_on = ~F.col("ended") & (F.col("repo") == F.col("_repo")) & (F.col("last") == F.col("_src"))
+    ends = F.col("dst").isNull() | F.array_contains("trail", F.col("dst"))
+    return walking.join(ahead, goes_on, "left").select(
+        "repo",
+        "path",
+        F.coalesce("dst", "last").alias("last"),
+        F.when(ends, F.col("trail")).otherwise(F.array_append("trail", F.col("dst"))).alias("trail"),
+        ends.alias("ended"),
+    )
+
+
 def follow(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Walk from each ``path`` along the edges to the end.
 
     ``last`` is where the walk ends: a path without an edge or, on a cycle,
     the first path seen twice.  ``trail`` lists the paths seen, in order.  Only
-    paths with an edge walk; a round is one join of the walks still under way,
-    so there are as many rounds as the longest chain has steps.
+    paths with an edge walk; a round takes the walks still under way two steps
+    on, so there are half as many rounds as the longest chain has steps.
     """
     heads = edges.select("repo", F.col("src").alias("path"))
     walking = starts.join(heads, ["repo", "path"], "left_semi").select(
-        "repo", "path", F.col("path").alias("last"), F.array("path").alias("trail")
+        "repo",
+        "path",
+        F.col("path").alias("last"),
+        F.array("path").alias("trail"),
+        F.lit(False).alias("ended"),
     )
-    steps = edges.select("repo", F.col("src").alias("last"), "dst")
-    seen = F.array_contains("trail", F.col("dst"))
     rounds = []
     while not rounds or not walking.isEmpty():
-        stepped = cut(
-            walking.join(steps, ["repo", "last"], "left").select(
-                "repo",
-                "path",
-                F.coalesce("dst", "last").alias("last"),
-                F.when(F.col("dst").isNull() | seen, F.col("trail"))
-                .otherwise(F.array_append("trail", F.col("dst")))
-                .alias("trail"),
-                (F.col("dst").isNull() | seen).alias("ended"),
-            ),
-            "walk",
-        )
-        rounds.append(stepped.where("ended").drop("ended"))
-        walking = stepped.where("not ended").drop("ended")
+        for _ in range(STEPS_PER_ROUND):
+            walking = _step(walking, edges)
+        walking = cut(walking, "walk")
+        rounds.append(walking.where("ended").drop("ended"))
+        walking = walking.where("not ended")
     walked = reduce(DataFrame.unionByName, rounds)
     return starts.select("repo", "path").join(walked, ["repo", "path"], "left").select(
         "repo",
