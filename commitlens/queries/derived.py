@@ -312,29 +312,40 @@ added_paths AS (
 
 
 def repo_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("repo_"), "n_nationkey").alias("name"),
+    """The nations' repositories and one without commits per customer."""
+    nations = table(spark, sf_dir, "nation").selectExpr(
+        "concat('repo_', n_nationkey) as name", "cast(n_nationkey as bigint) as k",
+        "n_name as description",
+    )
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "concat('customer_', c_custkey) as name", "c_custkey as k",
+        "concat(c_mktsegment, ' of ', c_name) as description",
+    )
+    k = F.col("k")
+    return nations.unionByName(customers).select(
+        "name",
         F.when(k % 3 != 0, "Java").otherwise("Scala").alias("language"),
-        F.col("n_name").alias("description"),
-        (k * 7 % 50).cast("bigint").alias("stargazers_count"),
-        (k * 3 % 20).cast("bigint").alias("forks_count"),
+        "description",
+        (k * 7 % 50).alias("stargazers_count"),
+        (k * 3 % 20).alias("forks_count"),
         (k % 7 == 0).alias("fork"),
         (k % 11 == 0).alias("archived"),
-        (k * 100).cast("bigint").alias("size"),
+        (k * 100).alias("size"),
         F.when(k % 8 != 0, F.struct(F.lit("Apache-2.0").alias("spdx_id"))).alias("license"),
     )
 
 
 REPO_META_SQL = """
 repo_meta AS (
-  SELECT 'repo_' || n_nationkey AS name,
-         CASE WHEN n_nationkey % 3 <> 0 THEN 'Java' ELSE 'Scala' END AS language,
-         n_name AS description, CAST(n_nationkey * 7 % 50 AS BIGINT) AS stargazers_count,
-         CAST(n_nationkey * 3 % 20 AS BIGINT) AS forks_count, n_nationkey % 7 = 0 AS fork,
-         n_nationkey % 11 = 0 AS archived, CAST(n_nationkey * 100 AS BIGINT) AS size,
-         CASE WHEN n_nationkey % 8 <> 0 THEN 'Apache-2.0' END AS spdx_id
-  FROM nation
+  SELECT name, CASE WHEN k % 3 <> 0 THEN 'Java' ELSE 'Scala' END AS language, description,
+         k * 7 % 50 AS stargazers_count, k * 3 % 20 AS forks_count, k % 7 = 0 AS fork,
+         k % 11 = 0 AS archived, k * 100 AS size,
+         CASE WHEN k % 8 <> 0 THEN 'Apache-2.0' END AS spdx_id
+  FROM (SELECT 'repo_' || n_nationkey AS name, CAST(n_nationkey AS BIGINT) AS k,
+               n_name AS description FROM nation
+        UNION ALL
+        SELECT 'customer_' || c_custkey, c_custkey, c_mktsegment || ' of ' || c_name
+        FROM customer)
 )"""
 
 

@@ -66,11 +66,11 @@ def scan_csv_column(t):
 
 @query("scan_json_array", sql("SELECT * FROM repo_meta", "repo_meta"))
 def scan_json_array(t):
-    # One file per language, each holding one array of a few repositories.
+    # One file per 1,000 repositories by size, each holding one array.
     path = t.scratch("meta-json")
     meta = derived.repo_meta(t.spark, t.sf_dir)
     row = F.struct(*meta.columns)
-    arrays = meta.groupBy(F.col("language").alias("part")).agg(
+    arrays = meta.groupBy(F.expr("size div 100000").alias("part")).agg(
         F.to_json(F.collect_list(row)).alias("value")
     )
     arrays.repartition("part").write.partitionBy("part").text(path)

@@ -166,6 +166,8 @@ def categorize_repo(t):
     return t.given("documents").select("doc_id", values.category(text).alias("category"))
 
 
+TRADES = ("building", "machinery", "nation_5")
+
 # Words of the invented prose, so that every rule decides somewhere.
 PROSE_WORDS = {
     "First": ("the", "que", "und"),
@@ -191,12 +193,12 @@ def categorize_prose(t):
     "categorize_repos",
     sql(f"""SELECT name AS project,
       {category_sql("(name || ' ' || description)", {**fixed.CATEGORY_KEYWORDS,
-                                                     "Nations": ("nation_3", "nation_5")})}
+                                                     "Trades": TRADES})}
         AS category, substr(description, 1, 50) AS description_snippet
       FROM repo_meta WHERE language = 'Java'""", "repo_meta"),
 )
 def categorize_repos(t):
-    keywords = {**fixed.CATEGORY_KEYWORDS, "Nations": ("nation_3", "nation_5")}
+    keywords = {**fixed.CATEGORY_KEYWORDS, "Trades": TRADES}
     return funnel.categorize(derived.repo_meta(t.spark, t.sf_dir), keywords)
 
 

@@ -63,11 +63,11 @@ def filter_mature_repos(t):
 @query(
     "filter_repo_meta",
     sql("""SELECT * FROM repo_meta WHERE NOT fork AND NOT archived AND language = 'Java'
-      AND size BETWEEN 300 AND 2200 AND spdx_id = 'Apache-2.0'""", "repo_meta"),
+      AND size BETWEEN 300 AND 50000000 AND spdx_id = 'Apache-2.0'""", "repo_meta"),
 )
 def filter_repo_meta(t):
     kept = funnel.filter_repo_meta(
-        derived.repo_meta(t.spark, t.sf_dir), language="Java", min_size=300, max_size=2200
+        derived.repo_meta(t.spark, t.sf_dir), language="Java", min_size=300, max_size=50_000_000
     )
     return kept.selectExpr("* except (license)", "license.spdx_id as spdx_id")
 
