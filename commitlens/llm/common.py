@@ -23,6 +23,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     """The session with the settings the operators count on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Steps end in written tables, so the shuffles before them can go at once.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
