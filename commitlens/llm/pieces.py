@@ -20,7 +20,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,24 @@ MARK = "▁"  # stands for a space in pieces
 #: As in SentencePiece: an unknown character scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words kept with their best pieces; the memo is emptied when it is full.
-MEMO = 1 << 18
-#: Rows and cells of one vectorised lattice.
-ROWS = 1 << 13
+MEMO = 1 << 19
+#: Rows times width of one vectorised lattice.
+CELLS = 1 << 16
 LOW = -np.inf
+GONE = -(1 << 30)
+
+
+@dataclass
+class Known:
+    """Pieces of memoised words one after the other, with numbers of pieces, scores and gaps."""
+
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    score: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    gap: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def __post_init__(self) -> None:
+        self.start = np.cumsum(self.count) - self.count
 
 
 @dataclass
@@ -53,7 +66,8 @@ class Model:
     words: re.Pattern
     hashes: np.ndarray = field(init=False)
     order: np.ndarray = field(init=False)
-    memo: dict[str, tuple[tuple[int, ...], float, float]] = field(default_factory=dict)
+    memo: dict[str, int] = field(default_factory=dict)
+    known: Known = field(default_factory=Known)
 
     def __post_init__(self) -> None:
         keys = list(self.ids)
@@ -137,15 +151,22 @@ def learn(model: Model, words: list[str]) -> None:
     """Best pieces, best score and cost of the second path of words, into the memo."""
     by: dict[int, list[str]] = {}
     for w in words:
-        by.setdefault(max(8, 1 << (len(w) - 1).bit_length()), []).append(w)
-    for width, group in by.items():
-        rows = max(1, ROWS * 16 // width)
+        by.setdefault(-(-len(w) // 4) * 4 if len(w) <= 32 else 1 << (len(w) - 1).bit_length(), []).append(w)
+    parts = []
+    for width, group in sorted(by.items()):
+        rows = max(1, CELLS // width)
         for at in range(0, len(group), rows):
-            part = group[at : at + rows]
-            model.memo.update(zip(part, _lattices(model, part, max(map(len, part))), strict=True))
+            parts += _lattices(model, group[at : at + rows], min(width, max(map(len, group))))
+    for names, *_ in parts:
+        model.memo.update(zip(names, range(len(model.memo), len(model.memo) + len(names)), strict=True))
+    known = model.known
+    flat = np.concatenate([known.flat, *(p[1] for p in parts)]).astype(np.int32)
+    count, score, gap = (np.concatenate([x, *(p[i] for p in parts)]) for i, x in ((2, known.count), (3, known.score), (4, known.gap)))
+    model.known = Known(flat, count.astype(np.int64), score, gap)
 
 
-def _lattices(model: Model, words: list[str], width: int) -> Iterator[tuple]:
+def _lattices(model: Model, words: list[str], width: int) -> list[tuple]:
+    """(words, pieces one after the other, numbers of pieces, scores, gaps), words of known characters first."""
     n, most = len(words), min(model.longest, width)
     length = np.fromiter(map(len, words), np.int64, n)
     prefix = poly(codes(words, width))
@@ -186,22 +207,26 @@ def _lattices(model: Model, words: list[str], width: int) -> Iterator[tuple]:
     steps, at = [], length.copy()
     while (live := at > 0).any():
         k = pick[rows, at]
-        steps.append(np.where(live, np.where(piece[k, rows, at] >= 0, piece[k, rows, at], -1 - at), -(1 << 30)))
+        steps.append(np.where(live, np.where(piece[k, rows, at] >= 0, piece[k, rows, at], -1 - at), GONE))
         score[k[live], rows[live], at[live]] = LOW
         at = np.where(live, at - (most - k), at)
     second = np.full(n, LOW)
     for s in range(1, most + 1):
         over = forward[:, : width + 1 - s] + score[most - s, :, s:] + backward[:, s:]
         np.maximum(second, over.max(axis=1), out=second)
-    paths = np.stack(steps[::-1], axis=1).tolist() if steps else [[] for _ in words]
-    for word, path, total, gap in zip(words, paths, best.tolist(), (best - second).tolist(), strict=True):
+    path = np.stack(steps[::-1], axis=1)
+    gap = best - second
+    odd = ((path < 0) & (path > GONE)).any(axis=1)
+    even = np.flatnonzero(~odd)
+    used = path[even] >= 0
+    parts = [([words[i] for i in even], path[even][used], used.sum(axis=1), best[even], gap[even])]
+    for i in np.flatnonzero(odd).tolist():
         ids: list[int] = []
-        for p in path:
-            if p >= 0:
-                ids.append(p)
-            elif p > -(1 << 30):
-                ids += fallback(model, word[-p - 2])
-        yield tuple(ids), total, gap
+        for p in path[i].tolist():
+            if p > GONE:
+                ids += [p] if p >= 0 else fallback(model, words[i][-p - 2])
+        parts.append(([words[i]], np.array(ids), np.array([len(ids)]), best[i : i + 1], gap[i : i + 1]))
+    return parts
 
 
 def search(model: Model, words: list[str], n: int) -> list[tuple[float, list[list[int]]]]:
@@ -251,37 +276,48 @@ def search(model: Model, words: list[str], n: int) -> list[tuple[float, list[lis
     return out
 
 
-def encode(model: Model, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+def encode(model: Model, text: str, n: int = 1) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
     """Best pieces of a text, and its ``n`` best paths as (score, edits of the best pieces).
 
     An edit (at, drop, ids) puts ``ids`` in place of ``drop`` pieces from ``at``;
     the first path has none.
     """
-    words = split(model, text)
-    if len(model.memo) > MEMO:
-        model.memo.clear()
-    new = set(words).difference(model.memo)
+    return next(encode_all(model, [text], n))
+
+
+def encode_all(model: Model, texts: list[str], n: int = 1) -> Iterator[tuple[np.ndarray, list]]:
+    """``encode`` of each text; new words of all texts are worked out together."""
+    split_up = [split(model, t) for t in texts]
+    every = set().union(*split_up)
+    new = every.difference(model.memo)
+    if len(model.memo) + len(new) > MEMO:
+        model.memo, model.known, new = {}, Known(), every
     if new:
         learn(model, sorted(new))
-    known = [model.memo[w] for w in words]
-    ids = list(chain.from_iterable(k[0] for k in known))
-    total = sum(k[1] for k in known)
-    if n < 2:
+    for words in split_up:
+        yield _paths(model, words, n)
+
+
+def _paths(model: Model, words: list[str], n: int) -> tuple[np.ndarray, list]:
+    known = model.known
+    place = np.fromiter(map(model.memo.__getitem__, words), np.int64, len(words))
+    count = known.count[place]
+    begin = np.cumsum(count) - count
+    ids = known.flat[np.repeat(known.start[place] - begin, count) + np.arange(int(count.sum()))]
+    total = float(known.score[place].sum())
+    if n < 2 or not len(words):
         return ids, [(total, [])]
-    gap = np.fromiter((k[2] for k in known), float, len(known))
-    few = min(n - 1, len(gap))
-    near = np.sort(np.argsort(gap, kind="stable")[:few]) if len(gap) < 64 else np.sort(_smallest(gap, few))
+    gap = known.gap[place]
+    near = np.sort(_smallest(gap, min(n - 1, len(gap))))
     near = near[np.isfinite(gap[near])]
     if not len(near):
         return ids, [(total, [])]
-    begin = np.concatenate([[0], np.cumsum([len(k[0]) for k in known])])
-    fixed = total - sum(known[i][1] for i in near)
+    fixed = total - float(known.score[place[near]].sum())
+    own = [ids[begin[i] : begin[i] + count[i]].tolist() for i in near]
     paths = []
     for score, parts in search(model, [words[i] for i in near], n):
         edits = [
-            (int(begin[i]), len(known[i][0]), part)
-            for i, part in zip(near.tolist(), parts, strict=True)
-            if part != list(known[i][0])
+            (int(begin[i]), len(old), part) for i, old, part in zip(near, own, parts, strict=True) if part != old
         ]
         paths.append((fixed + score, edits))
     # Where paths tie, the first is the one the words' own lattices chose.
@@ -296,9 +332,9 @@ def _smallest(gap: np.ndarray, few: int) -> np.ndarray:
     return np.concatenate([below, np.flatnonzero(gap == edge)[: few - len(below)]])
 
 
-def apply_edits(ids: list[int], edits: list) -> list[int]:
+def apply_edits(ids, edits: list) -> list[int]:
     """The pieces of another path."""
-    out, at = [], 0
+    ids, out, at = [int(i) for i in ids], [], 0
     for place, drop, new in edits:
         out += [*ids[at:place], *new]
         at = place + drop
@@ -306,7 +342,7 @@ def apply_edits(ids: list[int], edits: list) -> list[int]:
 
 
 def decode(model: Model, ids: list[int]) -> str:
-    data = b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
+    data = b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace")
     return data[1:] if model.dummy_prefix and data[:1] == " " else data
 
 
@@ -344,9 +380,11 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", n: int = 4
         model = load(model_path)
         for batch in stream:
             ids, paths = [], []
-            for text in batch.column(at).to_pylist():
-                best, ways = (None, None) if text is None else encode(model, text, n)
-                ids.append(None if best is None else np.array(best, np.int32))
+            texts = batch.column(at).to_pylist()
+            found = encode_all(model, [t for t in texts if t is not None], n)
+            for text in texts:
+                best, ways = (None, None) if text is None else next(found)
+                ids.append(best)
                 paths.append(
                     None
                     if ways is None

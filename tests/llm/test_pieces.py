@@ -46,7 +46,7 @@ def test_n_best_against_every_path(text, n):
     got = [tuple(pieces.apply_edits(ids, e)) for _, e in paths]
     assert len(set(got)) == len(got)
     scores = dict((p, s) for s, p in want)
-    assert [scores[p] for p in got] == [s for s, _ in paths] and got[0] == tuple(ids)
+    assert [scores[p] for p in got] == [s for s, _ in paths] and got[0] == tuple(ids.tolist())
 
 
 @settings(max_examples=200, deadline=None)
@@ -76,12 +76,12 @@ def test_scores_against_the_library():
 def test_memo_limit_and_order_of_words_do_not_matter(monkeypatch):
     rng = random.Random(2)
     words = ["".join(rng.choice("etaoin") for _ in range(rng.randint(1, 9))) for _ in range(300)]
-    want = pieces.encode(MODEL_, " ".join(words), 4)
+    plain = lambda found: (found[0].tolist(), found[1])
+    want = plain(pieces.encode(MODEL_, " ".join(words), 4))
     monkeypatch.setattr(pieces, "MEMO", 10)
-    MODEL_.memo.clear()
     for a, b in itertools.pairwise(range(0, 300, 60)):
         pieces.encode(MODEL_, " ".join(words[a:b]), 2)
-    assert pieces.encode(MODEL_, " ".join(words), 4) == want
+    assert plain(pieces.encode(MODEL_, " ".join(words), 4)) == want
 
 
 def test_very_long_text_without_spaces():
