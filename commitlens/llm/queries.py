@@ -1,4 +1,4 @@
 """Imports every query module, so that the register is complete."""
 
-from commitlens.llm import q_lines, q_mixing, q_pieces, q_quality, q_simhash, q_urls, q_vectors  # noqa: F401
+from commitlens.llm import q_html, q_lines, q_mixing, q_pieces, q_quality, q_simhash, q_urls, q_vectors  # noqa: F401
 from commitlens.llm.register import ORACLE, QUERIES  # noqa: F401
