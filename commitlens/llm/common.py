@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.session import configure, cut
+from commitlens.session import configure, scratch_path
 
 #: White space between words, as a class of regular expressions (Java, RE2, Python).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,13 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder, well compressed, and read it back: ends lineage and gives true sizes."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

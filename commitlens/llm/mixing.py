@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import fresh, prepared, words
-from commitlens.session import cut
+from commitlens.llm.common import cut, fresh, prepared, words
 
 #: A hash has 60 bits (15 hex digits); a level of the histograms looks at 12.
 HASH_BITS, LEVEL_BITS = 60, 12

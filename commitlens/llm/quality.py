@@ -15,8 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import fresh, prepared, words
-from commitlens.session import cut
+from commitlens.llm.common import cut, fresh, prepared, words
 
 #: A sketch keeps 6 leading bits of a value.
 LEADING = 6

@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.llm.common import append_columns, connected, fresh, prepared
-from commitlens.session import cut
+from commitlens.llm.common import append_columns, connected, cut, fresh, prepared
 
 SEED = 42
 BITS = 64
@@ -101,7 +100,8 @@ def fingerprint_links(prints: DataFrame, distance: int, segments: int) -> DataFr
 
     # Within one key: to the smallest fingerprint, where that is near enough.
     centre = table.groupBy("segment", "key").agg(F.min("fp").alias("centre"), F.max("fp").alias("other"))
-    centre = centre.filter("centre != other").drop("other")
+    # Written, so that the join reads plain exchanges on both sides, which can be split where a key is crowded.
+    centre = cut(centre.filter("centre != other").drop("other"), "centres")
     stars = table.join(centre, ["segment", "key"]).filter((F.col("fp") != F.col("centre")) & near("fp", "centre"))
     stars = cut(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     roots = connected(stars).withColumnRenamed("node", "fp")

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.llm.common import binary, fresh, prepared
-from commitlens.session import cut
+from commitlens.llm.common import binary, cut, fresh, prepared
 
 
 @dataclass(frozen=True)
@@ -269,7 +268,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = F.explode(F.arrays_zip(F.col(names["anchors"]).alias("anchor"), F.col(names["places"]).alias("place")))
     one = owners.select("tid", names["anchors"], names["places"]).dropDuplicates(["tid"])
     seeds = cut(one.select("tid", each.alias("e")).select("tid", F.col("e.anchor").alias("anchor"), F.col("e.place").alias("place")), "anchors")
-    twice = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, so that the join reads plain exchanges on both sides, which can be split where an anchor is crowded.
+    twice = cut(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
     shared = seeds.join(twice, "anchor").select("tid", F.struct("place", (F.col("n") > p.crowd).alias("crowded")).alias("place"))
     shared = cut(shared.groupBy("tid").agg(F.collect_list("place").alias("places")), "shared")
     total = shared.agg(F.sum(F.size("places"))).first()[0] or 0

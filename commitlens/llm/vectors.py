@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.llm.common import prepared
-from commitlens.session import cut
+from commitlens.llm.common import cut, prepared
 
 
 @dataclass(frozen=True)
