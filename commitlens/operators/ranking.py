@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from commitlens.session import cut
 
-PARTS_PER_OCTAVE = 4096
 
 
 def number_rows(
@@ -39,9 +38,9 @@ def number_rows(
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        sliced.join(starts, [*keys, "_slice"])
+        join_groups(sliced, starts, [*keys, "_slice"])
         .withColumn(name, F.row_number().over(inside) + F.col("_start"))
-        .drop("_slice", "_start")
+        .select(*df.columns, name)
     )
 
 
@@ -53,13 +52,13 @@ def first_per_key(
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n).drop("_n")
 
 
-def _magnitude(value: Column) -> Column:
-    """Order-preserving number of a value: 4096 parts per power of two."""
-    size = F.abs(value)
-    octave = F.floor(F.log2(size))
-    part = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * PARTS_PER_OCTAVE)
-    number = ((octave + 1100) * PARTS_PER_OCTAVE + part).cast("bigint")
-    return F.when(value > 0, number).when(value < 0, -number).otherwise(F.lit(0).cast("bigint"))
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys``, where a null group is a group like any other."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, same).drop(*(f"_right_{k}" for k in keys))
 
 
 def group_quantiles(
@@ -68,18 +67,21 @@ def group_quantiles(
     """Exact quantiles per key with linear interpolation, one column each.
 
     Equal values are counted before the shuffle, in the only pass over the
-    rows.  A running count over magnitude classes finds the class that holds
-    each wanted rank, and only the values of those classes are ordered, so
-    neither a key nor a frequent value is ever gathered in one task.  Nulls
+    rows.  The counts are range-partitioned on key and value into even slices;
+    a running count over slices finds the one that holds each wanted rank, and
+    only the values of those are ordered, so neither a key nor a frequent value
+    nor a narrow range of values is ever gathered in one task.  Nulls
     and NaN are left out; column ``n`` holds the number of values.
     """
     names = list(probabilities)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = cut(
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("_c"))
-        .withColumn("_class", _magnitude(F.col("_v"))),
+        .repartitionByRange(slices, *keys, "_v")
+        .withColumn("_class", F.spark_partition_id()),
         "counts",
     )
     so_far = (Window.unboundedPreceding, Window.currentRow)
@@ -118,7 +120,7 @@ def group_quantiles(
     )
     inside = Window.partitionBy(*keys, "_class").orderBy("_v").rowsBetween(*so_far)
     found = (
-        counts.join(wanted, [*keys, "_class"])
+        join_groups(counts, wanted, [*keys, "_class"])
         .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
         .withColumn(
             "_rank",

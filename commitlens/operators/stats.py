@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.values import to_bool, to_number
-from commitlens.operators.ranking import group_quantiles, number_rows
+from commitlens.operators.ranking import group_quantiles, join_groups, number_rows
 from commitlens.session import cut
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -134,13 +134,13 @@ def box_stats(
             "high_fence", F.col("q3") + reach
         )
     # The mean and whiskers need one look at the values against the fences.
-    joined = values.join(boxes, keys)
+    joined = join_groups(values, boxes, keys)
     inside = joined.groupBy(*keys).agg(
         F.avg("_x").alias("mean"),
         F.min(F.when(F.col("_x") >= F.col("low_fence"), F.col("_x"))).alias("_low"),
         F.max(F.when(F.col("_x") <= F.col("high_fence"), F.col("_x"))).alias("_high"),
     )
-    return boxes.join(inside, keys).select(
+    return join_groups(boxes, inside, keys).select(
         *keys,
         "n",
         "mean",

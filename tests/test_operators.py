@@ -302,3 +302,15 @@ def test_thresholds_read_bad_numbers_as_zero(spark):
     )
     row = adjust.quantile_thresholds(commits, 0.5, 0.5).first()
     assert (row.thr_lines, row.thr_files) == (5.0, 0.5)
+
+
+def test_null_keys_are_numbered_and_boxed(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 5.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    numbered = ranking.number_rows(df, ["g"], ["x"], "n", slices=3).collect()
+    assert sorted((str(r.g), r.x, r.n) for r in numbered) == [
+        ("None", 1.0, 1), ("None", 2.0, 2), ("None", 3.0, 3), ("a", 2.0, 1), ("a", 5.0, 2)
+    ]
+    boxes = {r.g: r for r in stats.box_stats(df, ["g"], "x").collect()}
+    assert (boxes[None].n, boxes[None].median, boxes[None].mean) == (3, 2.0, 2.0)
+    assert boxes["a"].n == 2

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from commitlens.queries.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -38,11 +39,15 @@ def as_rows(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+#: The training-data operators that SQL cannot express are tested in tests/llm.
+OWN = {k for k in entry.queries() if k in QUERIES}
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert OWN == {k for k in entry.oracle_sql() if k in QUERIES}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_agrees_with_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     cursor = duck.execute(entry.oracle_sql()[name])
