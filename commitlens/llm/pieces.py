@@ -33,6 +33,10 @@ MARK = "▁"  # stands for a space in pieces
 UNKNOWN_PENALTY = 10.0
 #: Words kept with their best pieces; the memo is emptied when it is full.
 MEMO = 1 << 19
+#: Searches kept with their paths; this memo is emptied when it is full, too.
+SEARCHES = 1 << 15
+#: Hashes of pieces are looked up by so many of their bits first.
+TOP_BITS = 20
 #: Rows times width of one vectorised lattice.
 CELLS = 1 << 16
 LOW = -np.inf
@@ -66,8 +70,11 @@ class Model:
     words: re.Pattern
     hashes: np.ndarray = field(init=False)
     order: np.ndarray = field(init=False)
+    maybe: np.ndarray = field(init=False)
+    flat_raw: pa.Array = field(init=False)
     memo: dict[str, int] = field(default_factory=dict)
     known: Known = field(default_factory=Known)
+    searches: dict[tuple, list] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         keys = list(self.ids)
@@ -76,6 +83,18 @@ class Model:
         self.hashes, self.order = known[by], np.array([self.ids[k] for k in keys], np.int64)[by]
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces share a hash")
+        self.maybe = np.zeros(1 << TOP_BITS, bool)
+        self.maybe[self.hashes >> np.uint64(64 - TOP_BITS)] = True
+        self.flat_raw = pa.array(self.raw, pa.large_binary())
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Pieces of hashes, -1 for none; most hashes fail on their top bits alone."""
+        found = np.full(hashes.shape, -1, np.int32)
+        likely = np.nonzero(self.maybe[hashes >> np.uint64(64 - TOP_BITS)])
+        asked = hashes[likely]
+        place = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        found[likely] = np.where(self.hashes[place] == asked, self.order[place], -1)
+        return found
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,9 +173,9 @@ def learn(model: Model, words: list[str]) -> None:
         by.setdefault(-(-len(w) // 4) * 4 if len(w) <= 32 else 1 << (len(w) - 1).bit_length(), []).append(w)
     parts = []
     for width, group in sorted(by.items()):
-        rows = max(1, CELLS // width)
+        rows, widest = max(1, CELLS // width), max(map(len, group))
         for at in range(0, len(group), rows):
-            parts += _lattices(model, group[at : at + rows], min(width, max(map(len, group))))
+            parts += _lattices(model, group[at : at + rows], widest)
     for names, *_ in parts:
         model.memo.update(zip(names, range(len(model.memo), len(model.memo) + len(names)), strict=True))
     known = model.known
@@ -169,51 +188,51 @@ def _lattices(model: Model, words: list[str], width: int) -> list[tuple]:
     """(words, pieces one after the other, numbers of pieces, scores, gaps), words of known characters first."""
     n, most = len(words), min(model.longest, width)
     length = np.fromiter(map(len, words), np.int64, n)
-    prefix = poly(codes(words, width))
+    prefix = np.ascontiguousarray(poly(codes(words, width)).T)
     power = np.ones(most + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(most):
             power[i + 1] = power[i] * BASE
-    # Edges by (piece length from long to short, row, end).
-    score = np.full((most, n, width + 1), LOW)
-    piece = np.full((most, n, width + 1), -1, np.int32)
-    inside = np.arange(width + 1)[None, :] <= length[:, None]
+    # Edges by (piece length from long to short, end, row), so that the edges into a node lie beside the nodes before it.
+    score = np.full((most, width + 1, n), LOW)
+    piece = np.full((most, width + 1, n), -1, np.int32)
+    inside = np.arange(width + 1)[:, None] <= length
     for k, size in enumerate(range(most, 0, -1)):
         with np.errstate(over="ignore"):
-            sub = prefix[:, size:] - prefix[:, : width + 1 - size] * power[size]
-        place = np.minimum(np.searchsorted(model.hashes, sub), len(model.hashes) - 1)
-        hit = (model.hashes[place] == sub) & inside[:, size:]
-        found = np.where(hit, model.order[place], -1)
-        piece[k, :, size:] = found
-        score[k, :, size:] = np.where(hit, model.scores[found], LOW)
+            sub = prefix[size:] - prefix[: width + 1 - size] * power[size]
+        found = np.where(inside[size:], model.find(sub), np.int32(-1))
+        piece[k, size:] = found
+        hit = np.nonzero(found >= 0)
+        score[k, size:][hit] = model.scores[found[hit]]
     lone = (piece[most - 1] < 0) & inside
-    lone[:, 0] = False
+    lone[0] = False
     score[most - 1][lone] = model.unknown
-    forward = np.full((n, width + 1), LOW)
-    forward[:, 0] = 0
-    pick = np.zeros((n, width + 1), np.int64)
-    for e in range(1, width + 1):
-        ways = np.stack([forward[:, e - s] + score[most - s, :, e] if s <= e else np.full(n, LOW) for s in range(most, 0, -1)])
-        pick[:, e] = ways.argmax(axis=0)
-        forward[:, e] = ways.max(axis=0)
+    forward = np.full((width + 1, n), LOW)
+    forward[0] = 0
+    pick = np.zeros((width + 1, n), np.int64)
     rows = np.arange(n)
-    best = forward[rows, length]
-    backward = np.full((n, width + 1), LOW)
-    backward[rows, length] = 0
+    for e in range(1, width + 1):
+        m = min(most, e)
+        ways = forward[e - m : e] + score[most - m :, e]
+        pick[e] = ways.argmax(axis=0) + (most - m)
+        forward[e] = ways.max(axis=0)
+    best = forward[length, rows]
+    backward = np.full((width + 1, n), LOW)
+    backward[length, rows] = 0
     for e in range(width, 0, -1):
-        for s in range(1, min(most, e) + 1):
-            np.maximum(backward[:, e - s], backward[:, e] + score[most - s, :, e], out=backward[:, e - s])
+        m = min(most, e)
+        np.maximum(backward[e - m : e], backward[e] + score[most - m :, e], out=backward[e - m : e])
     # The best path, backward, with its edges taken out of the lattice.
     steps, at = [], length.copy()
     while (live := at > 0).any():
-        k = pick[rows, at]
-        steps.append(np.where(live, np.where(piece[k, rows, at] >= 0, piece[k, rows, at], -1 - at), GONE))
-        score[k[live], rows[live], at[live]] = LOW
+        k = pick[at, rows]
+        steps.append(np.where(live, np.where(piece[k, at, rows] >= 0, piece[k, at, rows], -1 - at), GONE))
+        score[k[live], at[live], rows[live]] = LOW
         at = np.where(live, at - (most - k), at)
     second = np.full(n, LOW)
     for s in range(1, most + 1):
-        over = forward[:, : width + 1 - s] + score[most - s, :, s:] + backward[:, s:]
-        np.maximum(second, over.max(axis=1), out=second)
+        over = forward[: width + 1 - s] + score[most - s, s:] + backward[s:]
+        np.maximum(second, over.max(axis=0), out=second)
     path = np.stack(steps[::-1], axis=1)
     gap = best - second
     odd = ((path < 0) & (path > GONE)).any(axis=1)
@@ -276,6 +295,16 @@ def search(model: Model, words: list[str], n: int) -> list[tuple[float, list[lis
     return out
 
 
+def searched(model: Model, words: tuple[str, ...], n: int) -> list[tuple[float, list[list[int]]]]:
+    """``search``, with its paths kept, as texts tend to leave their best paths in the same words."""
+    found = model.searches.get((n, words))
+    if found is None:
+        if len(model.searches) >= SEARCHES:
+            model.searches.clear()
+        found = model.searches[n, words] = search(model, list(words), n)
+    return found
+
+
 def encode(model: Model, text: str, n: int = 1) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
     """Best pieces of a text, and its ``n`` best paths as (score, edits of the best pieces).
 
@@ -315,7 +344,7 @@ def _paths(model: Model, words: list[str], n: int) -> tuple[np.ndarray, list]:
     fixed = total - float(known.score[place[near]].sum())
     own = [ids[begin[i] : begin[i] + count[i]].tolist() for i in near]
     paths = []
-    for score, parts in search(model, [words[i] for i in near], n):
+    for score, parts in searched(model, tuple(words[i] for i in near), n):
         edits = [
             (int(begin[i]), len(old), part) for i, old, part in zip(near, own, parts, strict=True) if part != old
         ]
@@ -342,8 +371,23 @@ def apply_edits(ids, edits: list) -> list[int]:
 
 
 def decode(model: Model, ids: list[int]) -> str:
-    data = b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace")
-    return data[1:] if model.dummy_prefix and data[:1] == " " else data
+    return decode_all(model, pa.array([ids], pa.list_(pa.int32())))[0]
+
+
+def decode_all(model: Model, ids: pa.ListArray) -> list[str | None]:
+    """Texts of lists of pieces; what the pieces stand for is laid out for all lists at once."""
+    bounds = ids.offsets.to_numpy()
+    first, last = int(bounds[0]), int(bounds[-1])
+    spelt = model.flat_raw.take(ids.values.slice(first, last - first))
+    _, ends, data = spelt.buffers()
+    ends = np.frombuffer(ends, np.int64)[spelt.offset :][: len(spelt) + 1] if len(spelt) else np.zeros(1, np.int64)
+    at = ends[bounds - first].tolist()
+    view = memoryview(data or b"")
+    texts: list[str | None] = []
+    for here, low, high in zip(ids.is_valid().to_pylist(), at, at[1:], strict=False):
+        text = str(view[low:high], "utf-8", "replace") if here else None
+        texts.append(text[1:] if text and model.dummy_prefix and text[0] == " " else text)
+    return texts
 
 
 EDIT = T.StructType(
@@ -414,7 +458,7 @@ def decoded(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in stream:
-            texts = [None if x is None else decode(model, x) for x in batch.column(at).to_pylist()]
+            texts = decode_all(model, batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name]
             )
