@@ -1,7 +1,8 @@
 """Squash-like commits: outlier sizes, relabelled pairs, audit rows.
 
-Works on the written tables (``commits`` and ``pairs``), whose commit hashes
-are short, so that a hash stands for the same commit in both.
+Works on ``writers.commits_table`` and ``writers.pairs_table``.  Both hold whole
+commit hashes; tables read back from text outputs hold short ones and can be
+used as well, as long as both come from there.
 """
 
 from __future__ import annotations

@@ -34,10 +34,14 @@ def scan_csv(t):
     return without_zone(back, "commit_date")
 
 
-@query("write_commits", sql("SELECT * FROM commits_table", "commits_table"))
+@query(
+    "write_commits",
+    sql("SELECT * REPLACE (substr(commit_hash, 1, 8) AS commit_hash) FROM commits_table",
+        "commits_table"),
+)
 def write_commits(t):
     path = t.scratch("commits-out")
-    writers.write_csv(writers.commits_table(t.commit_stats), path)
+    writers.write_csv(writers.short_hashes(writers.commits_table(t.commit_stats)), path)
     return without_zone(readers.scan_csv(t.spark, path, schemas.COMMITS), "commit_date")
 
 
@@ -89,7 +93,8 @@ def cache_json(t):
 
 
 PAIR_TEXT = """SELECT * REPLACE (format('{:.2f}', time_diff_hours) AS time_diff_hours,
-    format('{:.1f}', time_diff_days) AS time_diff_days) FROM pairs_table"""
+    format('{:.1f}', time_diff_days) AS time_diff_days,
+    substr(test_commit, 1, 8) AS test_commit, substr(prod_commit, 1, 8) AS prod_commit) FROM pairs_table"""
 
 
 @query("write_pairs", sql(PAIR_TEXT, "pairs_table"))
@@ -185,7 +190,7 @@ def write_report_pairs(t):
 @query(
     "write_adjusted",
     sql("""SELECT repository, test_file, prod_file, classification, same_commit_is_outlier,
-      classification_adj FROM adjusted""", "adjusted"),
+      classification_adj, substr(test_commit, 1, 8) AS test_commit FROM adjusted""", "adjusted"),
 )
 def write_adjusted(t):
     folder = t.scratch("adjusted-out")
@@ -194,7 +199,7 @@ def write_adjusted(t):
     schema = schemas.PAIRS + ", same_commit_is_outlier boolean, classification_adj string"
     return readers.scan_csv(t.spark, f"{folder}/pairs", schema).select(
         "repository", "test_file", "prod_file", "classification", "same_commit_is_outlier",
-        "classification_adj",
+        "classification_adj", "test_commit",
     )
 
 

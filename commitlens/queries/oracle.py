@@ -444,7 +444,7 @@ inventory AS (
         ("commit_stats",),
         """
 commits_table AS (
-  SELECT repo AS repository, substr(commit_hash, 1, 8) AS commit_hash, commit_date, author,
+  SELECT repo AS repository, commit_hash, commit_date, author,
          total_lines AS total_lines_added, files_count AS total_files_count, java_files_count
   FROM commit_stats
 )""",
@@ -454,7 +454,7 @@ commits_table AS (
         """
 pairs_table AS (
   SELECT repo AS repository, classification, test_file, prod_file, test_class, prod_class,
-         substr(test_commit, 1, 8) AS test_commit, substr(prod_commit, 1, 8) AS prod_commit,
+         test_commit, prod_commit,
          test_date, prod_date, test_author, prod_author, time_diff_hours,
          time_diff_hours / 24 AS time_diff_days, test_file_lines, test_commit_total_lines,
          test_commit_files, test_commit_java_files, prod_file_lines, prod_commit_total_lines,

@@ -20,10 +20,20 @@ def short(column: str) -> Column:
     return F.substring(column, 1, SHORT_HASH)
 
 
+def short_hashes(table: DataFrame) -> DataFrame:
+    """A table as it is written: its commit hashes cut for the reader's eye.
+
+    Only text outputs are cut.  Joins and groups use whole hashes, as short
+    ones collide within a large repository.
+    """
+    cut = [c for c in ("commit_hash", "test_commit", "prod_commit") if c in table.columns]
+    return table.withColumns({c: short(c) for c in cut})
+
+
 def commits_table(stats: DataFrame) -> DataFrame:
     return stats.select(
         F.col("repo").alias("repository"),
-        short("commit_hash").alias("commit_hash"),
+        "commit_hash",
         "commit_date",
         "author",
         F.col("total_lines").alias("total_lines_added"),
@@ -36,14 +46,14 @@ SIZES = ("file_lines", "commit_total_lines", "commit_files", "commit_java_files"
 
 
 def pairs_table(pairs: DataFrame) -> DataFrame:
-    """Pairs with short hashes and numbers as they are; the input of adjust."""
+    """Pairs with hashes and numbers as they are; the input of adjust."""
     both = [f"{side}_{c}" for c in ("file", "class") for side in ("test", "prod")]
     return pairs.select(
         F.col("repo").alias("repository"),
         "classification",
         *both,
-        short("test_commit").alias("test_commit"),
-        short("prod_commit").alias("prod_commit"),
+        "test_commit",
+        "prod_commit",
         *[f"{side}_{c}" for c in ("date", "author") for side in ("test", "prod")],
         "time_diff_hours",
         (F.col("time_diff_hours") / 24).alias("time_diff_days"),
@@ -53,8 +63,8 @@ def pairs_table(pairs: DataFrame) -> DataFrame:
 
 
 def pairs_text(pairs: DataFrame) -> DataFrame:
-    """Pairs as written: hours with two digits, days with one."""
-    return pairs_table(pairs).withColumns(
+    """Pairs as written: short hashes, hours with two digits, days with one."""
+    return short_hashes(pairs_table(pairs)).withColumns(
         {
             "time_diff_hours": fixed_point(F.col("time_diff_hours"), 2),
             "time_diff_days": fixed_point(F.col("time_diff_days"), 1),
@@ -99,18 +109,20 @@ def unmatched_text(unmatched: DataFrame) -> DataFrame:
     )
 
 
-def report_rows(summary: DataFrame, unmatched: DataFrame) -> DataFrame:
-    """One document per repository: its counters and first unmatched tests.
+def report_rows(
+    summary: DataFrame, unmatched: DataFrame, most: int = MOST_UNMATCHED
+) -> DataFrame:
+    """One document per repository: its counters and first ``most`` unmatched tests.
 
-    At most 100 unmatched tests are nested, so a document stays small however
-    large the repository; its pairs are a table of their own.
+    The number bounds a document however large the repository; all unmatched
+    tests and the pairs are tables of their own.
     """
     details = F.struct(
         "test_file", "test_class", "class_names", "candidates_tried", "reason",
         "original_path", "commit_hash", "commit_date", "author", "is_helper",
     )
     nested = (
-        first_per_key(unmatched, ["repo"], [F.col("test_file")], MOST_UNMATCHED)
+        first_per_key(unmatched, ["repo"], [F.col("test_file")], most)
         .groupBy("repo")
         .agg(F.array_sort(F.collect_list(details)).alias("unmatched_tests_details"))
     )
@@ -119,7 +131,7 @@ def report_rows(summary: DataFrame, unmatched: DataFrame) -> DataFrame:
         F.coalesce(
             "unmatched_tests_details", F.array().cast(nested.schema[1].dataType)
         ).alias("unmatched_tests_details"),
-        (F.col("unmatched_test_files") > MOST_UNMATCHED).alias("unmatched_tests_truncated"),
+        (F.col("unmatched_test_files") > most).alias("unmatched_tests_truncated"),
     )
 
 
@@ -151,15 +163,16 @@ def write_analysis(
     stats: DataFrame,
     unmatched: DataFrame | None = None,
     failed: DataFrame | None = None,
+    most_unmatched: int = MOST_UNMATCHED,
 ) -> None:
     """The five outputs of one analysis; unmatched tests may be left out."""
     write_csv(pairs_text(pairs), f"{folder}/pairs")
     write_csv(summary_text(summary), f"{folder}/summary")
-    write_csv(commits_table(stats), f"{folder}/commits")
+    write_csv(short_hashes(commits_table(stats)), f"{folder}/commits")
     write_json(pairs, f"{folder}/report_pairs")
     if unmatched is not None:
         write_csv(unmatched_text(unmatched), f"{folder}/unmatched")
-        write_json(report_rows(summary, unmatched), f"{folder}/report")
+        write_json(report_rows(summary, unmatched, most_unmatched), f"{folder}/report")
     if failed is not None:
         write_csv(failed.select("repo", "error"), f"{folder}/failed")
 
@@ -168,8 +181,8 @@ def write_adjusted(
     folder: str, commits: DataFrame, adjusted: DataFrame, audit: DataFrame, outliers: DataFrame
 ) -> None:
     """Adjusted artefacts; outlier commits only where there are any."""
-    write_csv(commits, f"{folder}/commits")
-    write_csv(adjusted, f"{folder}/pairs")
+    write_csv(short_hashes(commits), f"{folder}/commits")
+    write_csv(short_hashes(adjusted), f"{folder}/pairs")
     write_csv(
         audit.orderBy(
             F.desc("same_commit_pairs_relabeled_fraction"), F.desc("same_commit_pairs")
@@ -177,4 +190,4 @@ def write_adjusted(
         f"{folder}/squash_like_summary",
     )
     if not outliers.isEmpty():
-        write_csv(outliers, f"{folder}/outlier_commits")
+        write_csv(short_hashes(outliers), f"{folder}/outlier_commits")

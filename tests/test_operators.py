@@ -95,6 +95,24 @@ def test_outliers_by_lines(spark):
     assert adjust_pairs(doubled, pairs).pairs.count() == pairs.count()
 
 
+def test_commits_that_share_a_short_hash_are_apart(spark):
+    hashes = ["deadbeef" + "0" * 32, "deadbeef" + "1" * 32]
+    rows = [("r", hashes[0], "d", "a", 5, 1, 1), ("r", hashes[1], "d", "a", 500, 9, 1)]
+    commits = writers.commits_table(spark.createDataFrame(
+        rows, "repo string, commit_hash string, commit_date string, author string, "
+        "total_lines bigint, files_count bigint, java_files_count bigint"))
+    pairs = spark.createDataFrame(
+        [("r", "SAME_COMMIT", h) for h in hashes],
+        "repository string, classification string, test_commit string",
+    )
+    result = adjust_pairs(commits, pairs)
+    got = {p.test_commit: p.classification_adj for p in result.pairs.collect()}
+    assert got == {hashes[0]: "SAME_COMMIT", hashes[1]: "SAME_COMMIT_OUTLIER"}
+    assert result.audit.first().outlier_commits == 1
+    written = writers.short_hashes(result.pairs).select("test_commit").collect()
+    assert {r.test_commit for r in written} == {"deadbeef"}
+
+
 def test_short_hash_collision_counts_hashes_once(spark):
     commits, pairs = commits_and_pairs(spark)
     twice = commits.unionByName(commits.where("commit_hash = 'h99'"))
