@@ -1,19 +1,24 @@
 """Licence scan: TF-IDF cosine of text lines to licence templates, and inheritance along directories.
 
-A term is a lower-case run of letters and digits.  Document frequencies of the
-templates' terms count all documents; a term no template has weighs as one
-that a single document has.  Each line of a text (headers and licence files
+A term is a lower-case run of letters and digits.  Document frequencies of all
+terms count all documents; a term of a template that no document has weighs as
+one that a single document has.  Each line of a text (headers and licence files
 alike) is compared with every template; the best line decides.  A file without
 an own licence takes that of the licence file in the nearest directory above.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import cut, fresh, prepared
 
+#: So many of the most frequent terms are looked up when lines are ruled out; the result is the same for any number.
+FREQUENT = 64
+
 #: Licence identifiers and notices as commonly written.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -34,31 +39,21 @@ def terms(text: Column) -> Column:
 
 def scored_lines(files: DataFrame, templates: DataFrame, path: str, text: str, least: float) -> DataFrame:
     """(path, licence, score): the best template of each path with a cosine of ``least`` or more, ties to the smaller name."""
-    given = templates.select("licence", F.explode(terms(F.col("notice"))).alias("term"))
-    tf = given.groupBy("licence", "term").agg(F.count("*").alias("tf"))
-    vocabulary = F.array(*(F.lit(r[0]) for r in tf.select("term").distinct().orderBy("term").collect()))
-    facts = files.agg(F.count("*").alias("n")).first()
-    most = F.log(F.lit(float(facts["n"] + 1)))
-    held = files.select(F.explode(F.array_intersect(terms(F.coalesce(text, F.lit(""))), vocabulary)).alias("term"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = tf.select("term").distinct().join(df, "term", "left").select(
-        "term", F.log((facts["n"] + 1) / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1))).alias("idf")
-    )
-    idf = cut(idf, "idf")  # one row per term of the templates
-    weight = cut(tf.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("w"), "idf"), "weights")
+    tf = templates.select("licence", F.explode(terms(F.col("notice"))).alias("term")).groupBy("licence", "term").agg(F.count("*").alias("tf"))
+    n = files.count()
+    held = files.select(F.explode(F.array_distinct(terms(F.coalesce(text, F.lit(""))))).alias("term"))
+    df = cut(held.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+    idf = F.log((n + 1) / F.coalesce("df", F.lit(1)))
+    weight = tf.join(df, "term", "left").select("licence", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf"))
+    weight = cut(weight, "weights")  # one row per term of a template
     norms = weight.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "x"))
     lines = lines.select("path", "line", terms(F.col("x")).alias("ts"))
-    # A cosine of ``least`` needs a share of the line's weight in template terms; unknown terms weigh ``most`` each.
-    known = F.filter("ts", lambda t: F.array_contains(vocabulary, t))
-    lines = lines.select("path", "line", known.alias("known"), F.array_except("ts", vocabulary).alias("other"))
-    bound = F.size("known") * (1 - least**2) >= F.size("other") * least**2
-    lines = lines.filter((F.size("known") > 0) & bound)
-    rest = F.size("other") * most * most  # at the least once each
-    one = lines.select("path", "line", rest.alias("rest"), F.explode("known").alias("term"))
-    one = one.groupBy("path", "line", "term").agg(F.count("*").alias("tf"), F.max("rest").alias("rest"))
-    one = one.join(idf, "term").withColumn("u", F.col("tf") * F.col("idf"))
-    size = one.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("u") * F.col("u")) + F.max("rest")).alias("size"))
+    lines = lines.filter(may_reach(F.col("ts"), weight, df, n, least))
+    one = lines.select("path", "line", F.explode("ts").alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
+    one = one.join(df, "term").select("path", "line", "term", (F.col("tf") * idf).alias("u"))
+    one = cut(one, "line-terms")
+    size = one.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("size"))
     dot = one.join(weight.select("licence", F.col("term").alias("t"), "w"), F.col("term") == F.col("t"))
     dot = dot.groupBy("path", "line", "licence").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
     found = dot.join(size, ["path", "line"]).join(norms, "licence")
@@ -67,6 +62,29 @@ def scored_lines(files: DataFrame, templates: DataFrame, path: str, text: str, l
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
 
+def may_reach(ts: Column, weight: DataFrame, df: DataFrame, n: int, least: float) -> Column:
+    """Whether a line of terms ``ts`` may have a cosine of ``least``; false only where a bound rules it out.
+
+    A cosine is at most the share of the line's length that template terms
+    have.  That is at most the sum of their weights; the other terms
+    are at least as long as those outside the most frequent ones, each of which
+    weighs no less than the rarest of these.
+    """
+    known = {r["term"]: r["idf"] for r in weight.select("term", "idf").distinct().collect()}
+    often = df.orderBy(F.desc("df"), "term").limit(FREQUENT).collect()
+    if not known or not often:
+        return F.lit(False)
+    floor = math.log((n + 1) / often[-1]["df"])
+    vocabulary = F.array(*map(F.lit, known))
+    weights = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    common = F.array(*(F.lit(t) for t in {r["term"] for r in often} | set(known)))
+    held = F.filter(ts, lambda t: F.array_contains(vocabulary, t))
+    most = F.aggregate(held, F.lit(0.0), lambda total, t: total + F.element_at(weights, t))
+    rest = F.size(F.array_except(ts, common)) * floor * floor
+    # Scores are rounded to nine places, so the bound is a little wider.
+    return (F.size(held) > 0) & (most * most * (1 / (least - 1e-8) ** 2 - 1) >= rest)
+
+
 def directory(path: Column) -> Column:
     """What precedes the last slash; empty without one."""
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -71,3 +72,37 @@ def test_nearest_directory_and_edges(spark):
          ("x/y.txt", "MIT", "LICENSE"), ("x/y.txt", "MIT", "LICENSE"), ("top", "MIT", "LICENSE"), ("None", "None", "None"), ("a/LICENSE.md", "MIT", "a/LICENSE.md"), ("a//b/e", "Apache-2.0", "a/COPYING")]
     )
     assert licences(df.limit(0)).count() == 0
+
+
+def full_scores(rows, least):
+    """path -> (licence, score), with the document frequencies of all terms and without bounds."""
+    n, df = len(rows), Counter(t for _, x in rows for t in set(TERM.findall((x or "").lower())))
+    idf = lambda t: math.log((n + 1) / max(df[t], 1))
+    notes = {i: Counter(TERM.findall(t.lower())) for i, t in TEMPLATES}
+    length = lambda c: math.sqrt(sum((k * idf(t)) ** 2 for t, k in c.items()))
+    found = {}
+    for p, text in rows:
+        for line in (text or "").lower().split("\n"):
+            c = Counter(TERM.findall(line))
+            for i, note in notes.items():
+                if (whole := length(c) * length(note)) > 0:
+                    score = round(sum(c[t] * k * idf(t) ** 2 for t, k in note.items()) / whole, 9)
+                    if score >= least and (p not in found or (-score, i) < found[p]):
+                        found[p] = (-score, i)
+    return {p: (i, -minus) for p, (minus, i) in found.items()}
+
+
+def test_frequencies_of_all_terms_count_all_documents(spark):
+    rng = random.Random(5)
+    everyday = ["en", "this", "file", "is"]
+    rows = [(f"d/{i}", " ".join([*everyday, *(f"w{rng.randrange(900)}" for _ in range(30))])) for i in range(400)]
+    rows += [
+        ("a/1", "Released under the MIT License en"), ("a/2", "This file is released under the MIT License."),
+        ("a/3", "Released under the MIT License w1 w2 w3"), ("a/4", "Released under the MIT License " + "rare " * 9), ("a/5", "w5 en\nlicensed under CC BY 4.0, en file"),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.licence, r.score) for r in licences(df).collect() if r.licence}
+    want = full_scores(rows, 0.8)
+    assert {p: i for p, (i, _) in got.items()} == {p: i for p, (i, _) in want.items()}
+    assert all(got[p][1] == pytest.approx(want[p][1], abs=2e-9) for p in want)
+    assert {"a/1", "a/2", "a/5"} <= set(got) and "a/4" not in got
