@@ -48,7 +48,10 @@ BLOCKS = frozenset(
     "button label".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements in which a trailing slash closes a tag; blocks of a page end them, but for what lies in the second.
+FOREIGN = ("svg", "math")
+INTEGRATED = ("foreignobject", "annotation-xml", "desc")
 #: Elements that an opening tag of the same kind closes.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = BLOCKS - {"p", "button", "label", "option", "optgroup", "legend", "caption", "summary"}
@@ -63,7 +66,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of every block with text, in page order.
 
     A path has an entry for each open element: its tag and the words of its
-    class, id and role.  Comments, scripts and styles give no block.
+    class, id and role.  Comments, scripts and styles give no block.  Only raw
+    text (``RAW``) is passed over up to its closing tag.
     """
     out, path, tags, text, at = [], [], [], [], 0
 
@@ -93,6 +97,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if name is None:
             continue
         name = name.lower()
+        inside = next((t for t in reversed(tags) if t in FOREIGN or t in INTEGRATED), None)
+        if rest.endswith("/") and not slash and (name in FOREIGN or inside in FOREIGN):
+            continue
+        if inside in FOREIGN and not slash and name in BLOCKS and name != "title":
+            while any(t in FOREIGN for t in tags) and inside in FOREIGN:
+                close(inside)
+                inside = next((t for t in reversed(tags) if t in FOREIGN or t in INTEGRATED), None)
         if name in RAW and not slash:
             end()
             last = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)

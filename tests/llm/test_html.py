@@ -40,6 +40,26 @@ def test_blocks():
     assert [t for _, t in blocks("<p>x<script>never ends")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("<p>a</p><svg class='i'/><p>b</p><svg><path d='x'/></svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a <math/> b</p><p>c</p>", ["a b", "c"]),
+        ("<p>a</p><object data=x><p>b</p>", ["a", "b"]),
+        ("<p>a</p><template><p>b</p><template><p>c</p></template><p>d</p></template><p>e</p>", ["a", "b", "c", "d", "e"]),
+        ("<p>a</p><template><p>b</p>", ["a", "b"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>b</p>", ["so x=2 holds", "b"]),
+        ("<svg><title/><rect/><p>a</p><svg><svg><g></svg><p>b</p>", ["a", "b"]),
+        ("<svg><foreignObject><p>a</p></foreignObject></svg><p>b</p>", ["a", "b"]),
+        ("<p>a</p><noscript><p>b</p></noscript><textarea><p>no</p></textarea><iframe><p>no</p></iframe><p>c</p>", ["a", "b", "c"]),
+    ],
+)
+def test_no_element_but_raw_text_is_passed_over(page, texts):
+    found = blocks(page)
+    assert [t for _, t in found] == texts
+    assert not {"svg", "math"} & {e.split(" ")[0] for e in found[-1][0]}
+
+
 def test_gradients_against_differences():
     s = Settings(hidden=3, path_bits=4, word_bits=2)
     net = Labeller(6, s)
