@@ -15,6 +15,7 @@ and a lost executor costs its tasks only.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -37,6 +38,9 @@ LONGEST_KEPT = 64
 BITS = 24
 MASK = (1 << BITS) - 1
 NO_RANK = 1 << 62
+#: Words of up to so many bytes are merged many at a time.
+LONGEST_TOGETHER = 65
+TOGETHER = 1 << 12
 
 # The letters and numbers that came with Unicode 17 and later.  The public file's
 # library takes them for other signs, as it knows Unicode 16.
@@ -63,6 +67,12 @@ def _words(letters: str, numbers: str) -> regex.Pattern:
     )
 
 
+# Most texts hold none but signs up to U+024F and common punctuation; their classes can be written out.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+LATIN = re.compile(
+    rf" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+)
+BEYOND_LATIN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NEWER = regex.compile(f"[{_signs(NEWER_LETTERS)}{_signs(NEWER_NUMBERS)}]")
 STRICT = _words(rf"(?![{_signs(NEWER_LETTERS)}])\p{{L}}", rf"(?![{_signs(NEWER_NUMBERS)}])\p{{N}}")
@@ -70,6 +80,8 @@ STRICT = _words(rf"(?![{_signs(NEWER_LETTERS)}])\p{{L}}", rf"(?![{_signs(NEWER_N
 
 def words(text: str) -> list[str]:
     """The words that merges never cross; joined they are the text."""
+    if not BEYOND_LATIN.search(text):
+        return LATIN.findall(text)
     return (STRICT if NEWER.search(text) else PLAIN).findall(text)
 
 
@@ -129,37 +141,131 @@ def merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class Ranks:
+    """``pairs`` as sorted arrays, to look up many pairs at once."""
+
+    def __init__(self, pairs: dict[int, int]):
+        order = sorted(pairs)
+        self.keys = np.array([*order, NO_RANK], np.int64)
+        self.values = np.array([*map(pairs.__getitem__, order), NO_RANK], np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and merged token of each pair; NO_RANK where there is none or a side is below 0."""
+        key = left << BITS | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NO_RANK)
+
+
+def merged_words(ids: np.ndarray, ranks: Ranks) -> np.ndarray:
+    """``merged`` for many short words at once, each with a segment tree of its own.
+
+    ``ids`` has a column per word, filled up with -1 at the end; what a merge
+    takes in turns to -1.  Every step makes the next merge of every word that
+    has one.
+    """
+    n, many = ids.shape
+    leaves = 1 << max(0, (n - 2).bit_length())
+    tree = np.full((2 * leaves, many), NO_RANK)
+    tree[leaves : leaves + n - 1] = ranks(ids[:-1], ids[1:])
+    level = leaves
+    while level > 1:
+        tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+        level //= 2
+    # One more row stands for what lies before the first and after the last token.
+    ids = np.vstack([ids, np.full((1, many), -1, np.int64)])
+    following = np.repeat(np.minimum(np.arange(1, n + 2), n)[:, None], many, 1)
+    before = np.repeat(np.array([n, *range(n)])[:, None], many, 1)
+    busy = np.flatnonzero(tree[1] != NO_RANK)
+    while len(busy):
+        best = tree[1, busy]
+        k = np.ones(len(busy), np.int64)
+        for _ in range(leaves.bit_length() - 1):
+            k *= 2
+            k += tree[k, busy] != best
+        at = k - leaves
+        gone = following[at, busy]
+        after = following[gone, busy]
+        following[at, busy] = after
+        before[after, busy] = at
+        ids[at, busy], ids[gone, busy] = best & MASK, -1
+        left = before[at, busy]
+        ids[n, busy] = -1
+        own = ids[at, busy]
+        tree[leaves + np.minimum(gone, leaves - 1), busy] = NO_RANK
+        tree[leaves + at, busy] = ranks(own, ids[after, busy])
+        tree[leaves + left % n, busy] = np.where(left < n, ranks(ids[left, busy], own), tree[leaves + left % n, busy])
+        words = np.concatenate([busy, busy, busy])
+        k = leaves + np.concatenate([np.minimum(gone, leaves - 1), at, left % n])
+        for _ in range(leaves.bit_length() - 1):
+            k >>= 1
+            tree[k, words] = np.minimum(tree[2 * k, words], tree[2 * k + 1, words])
+        busy = busy[tree[1, busy] != NO_RANK]
+    return ids[:n]
+
+
 @dataclass
 class Vocabulary:
     """Merges, bytes and added tokens of a file, and a memo of words."""
 
-    of_byte: list[int]
+    of_byte: np.ndarray
     pairs: dict[int, int]
     raw: dict[int, bytes]
     added: dict[str, int]
     cut: regex.Pattern | None
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
-
-    def word(self, text: str) -> tuple[int, ...]:
-        return tuple(merged([self.of_byte[b] for b in text.encode("utf-8", "replace")], self.pairs))
+    ranks: Ranks = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.ranks = Ranks(self.pairs)
+
+    def new_words(self, texts: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of words: short ones of about one length together, long ones one by one."""
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for text in texts:
+            raw = text.encode("utf-8", "replace")
+            # So many bytes have pairs for one full tree.
+            by_length.setdefault((1 << max(1, (len(raw) - 2).bit_length())) + 1, []).append((text, raw))
+        found = {}
+        for most, group in ((n, g[i : i + TOGETHER]) for n, g in by_length.items() for i in range(0, len(g), TOGETHER)):
+            if most > LONGEST_TOGETHER:
+                found |= {t: tuple(merged(self.of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.pairs)) for t, raw in group}
+                continue
+            sizes = np.array([len(raw) for _, raw in group])
+            ids = np.full((len(group), most), -1, np.int64)
+            ids[np.arange(ids.shape[1]) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)]
+            ids = merged_words(np.ascontiguousarray(ids.T), self.ranks).T
+            flat = ids[ids >= 0].tolist()
+            ends = np.cumsum((ids >= 0).sum(1)).tolist()
+            found |= {t: tuple(flat[a:b]) for (t, _), a, b in zip(group, [0, *ends], ends)}
+        return found
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, as the file's own library finds them without special tokens of its own accord."""
+        cut = [[(part, words(part) if part not in self.added else None) for part in (self.cut.split(t) if self.cut else [t])] for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = set()
+        for parts in cut:
+            for _, tokens in parts:
+                new.update(tokens or ())
+        new.difference_update(self.memo)
+        short = [w for w in new if len(w) <= LONGEST_KEPT]
+        self.memo |= self.new_words(short)
+        own = self.new_words([w for w in new if len(w) > LONGEST_KEPT])
+        kept = self.memo
+        found = []
+        for parts in cut:
+            ids: list[Iterable[int]] = []
+            for part, tokens in parts:
+                if tokens is None:
+                    ids.append((self.added[part],))
+                else:
+                    ids.extend([kept[w] if w in kept else own[w] for w in tokens] if own else map(kept.__getitem__, tokens))
+            found.append(list(chain.from_iterable(ids)))
+        return found
 
     def ids(self, text: str) -> list[int]:
-        """Ids of a text, as the file's own library finds them without special tokens of its own accord."""
-        parts = self.cut.split(text) if self.cut else [text]
-        found: list[Iterable[int]] = []
-        for part in parts:
-            if part in self.added:
-                found.append((self.added[part],))
-                continue
-            tokens = words(part)
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            own = {}
-            for w in set(tokens).difference(self.memo):
-                (self.memo if len(w) <= LONGEST_KEPT else own)[w] = self.word(w)
-            kept = self.memo
-            found.extend([kept[w] if w in kept else own[w] for w in tokens] if own else map(kept.__getitem__, tokens))
-        return list(chain.from_iterable(found))
+        return self.ids_of([text])[0]
 
     def text(self, ids: Iterable[int]) -> str:
         """The bytes of the ids as text; ids the file doesn't know stand for nothing, broken UTF-8 for U+FFFD."""
@@ -194,7 +300,7 @@ def load(path: str) -> Vocabulary:
     raw |= {i: token.encode() for token, i in tokens.items()}
     longest_first = sorted(tokens, key=len, reverse=True)
     cut = regex.compile(f"({'|'.join(map(regex.escape, longest_first))})") if tokens else None
-    return Vocabulary([vocab[s] for s in signs], pairs, raw, tokens, cut)
+    return Vocabulary(np.array([vocab[s] for s in signs], np.int64), pairs, raw, tokens, cut)
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -209,8 +315,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
     (name,) = fresh(docs, ids_col)
 
     def values(texts: list[bytes]) -> list[pa.Array]:
-        vocabulary = load(path)
-        found = [vocabulary.ids(t.decode("utf-8", "replace")) for t in texts]
+        found = load(path).ids_of([t.decode("utf-8", "replace") for t in texts])
         ends = np.cumsum([0, *map(len, found)])
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
