@@ -16,10 +16,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +28,8 @@ from pyspark.sql import types as T
 
 from commitlens.llm.common import append_columns, fresh, prepared
 
-#: Words kept with their ids; the memo is emptied when it is full.
-MEMO = 1 << 18
-#: Words of more characters are not kept.
-LONGEST_KEPT = 64
+#: Words kept, and ids kept for them; the memo is emptied when it is full.
+MEMO, MEMO_IDS = 1 << 18, 1 << 22
 #: Ids take so many bits in the keys and values of pairs.
 BITS = 24
 MASK = (1 << BITS) - 1
@@ -144,16 +140,20 @@ def merged(ids: list[int], pairs: dict[int, int]) -> list[int]:
 class Ranks:
     """``pairs`` as sorted arrays, to look up many pairs at once."""
 
+    NONE = np.int32(2**31 - 1)
+
     def __init__(self, pairs: dict[int, int]):
         order = sorted(pairs)
         self.keys = np.array([*order, NO_RANK], np.int64)
-        self.values = np.array([*map(pairs.__getitem__, order), NO_RANK], np.int64)
+        self.ranks = np.array([*(pairs[k] >> BITS for k in order), self.NONE], np.int32)
+        self.merged = np.zeros(int(self.ranks[:-1].max(initial=0)) + 1, np.int32)
+        self.merged[self.ranks[:-1]] = [pairs[k] & MASK for k in order]
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank and merged token of each pair; NO_RANK where there is none or a side is below 0."""
-        key = left << BITS | right
+        """Rank of each pair; NONE where there is none or a side is below 0."""
+        key = left.astype(np.int64) << BITS | right
         at = np.searchsorted(self.keys, key)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NO_RANK)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.NONE)
 
 
 def merged_words(ids: np.ndarray, ranks: Ranks) -> np.ndarray:
@@ -165,17 +165,17 @@ def merged_words(ids: np.ndarray, ranks: Ranks) -> np.ndarray:
     """
     n, many = ids.shape
     leaves = 1 << max(0, (n - 2).bit_length())
-    tree = np.full((2 * leaves, many), NO_RANK)
+    tree = np.full((2 * leaves, many), ranks.NONE)
     tree[leaves : leaves + n - 1] = ranks(ids[:-1], ids[1:])
     level = leaves
     while level > 1:
         tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
         level //= 2
     # One more row stands for what lies before the first and after the last token.
-    ids = np.vstack([ids, np.full((1, many), -1, np.int64)])
-    following = np.repeat(np.minimum(np.arange(1, n + 2), n)[:, None], many, 1)
-    before = np.repeat(np.array([n, *range(n)])[:, None], many, 1)
-    busy = np.flatnonzero(tree[1] != NO_RANK)
+    ids = np.vstack([ids, np.full((1, many), -1, np.int32)])
+    following = np.repeat(np.minimum(np.arange(1, n + 2), n)[:, None].astype(np.int32), many, 1)
+    before = np.repeat(np.array([n, *range(n)], np.int32)[:, None], many, 1)
+    busy = np.flatnonzero(tree[1] != ranks.NONE)
     while len(busy):
         best = tree[1, busy]
         k = np.ones(len(busy), np.int64)
@@ -187,11 +187,11 @@ def merged_words(ids: np.ndarray, ranks: Ranks) -> np.ndarray:
         after = following[gone, busy]
         following[at, busy] = after
         before[after, busy] = at
-        ids[at, busy], ids[gone, busy] = best & MASK, -1
+        ids[at, busy], ids[gone, busy] = ranks.merged[best], -1
         left = before[at, busy]
         ids[n, busy] = -1
         own = ids[at, busy]
-        tree[leaves + np.minimum(gone, leaves - 1), busy] = NO_RANK
+        tree[leaves + np.minimum(gone, leaves - 1), busy] = ranks.NONE
         tree[leaves + at, busy] = ranks(own, ids[after, busy])
         tree[leaves + left % n, busy] = np.where(left < n, ranks(ids[left, busy], own), tree[leaves + left % n, busy])
         words = np.concatenate([busy, busy, busy])
@@ -199,77 +199,105 @@ def merged_words(ids: np.ndarray, ranks: Ranks) -> np.ndarray:
         for _ in range(leaves.bit_length() - 1):
             k >>= 1
             tree[k, words] = np.minimum(tree[2 * k, words], tree[2 * k + 1, words])
-        busy = busy[tree[1, busy] != NO_RANK]
+        busy = busy[tree[1, busy] != ranks.NONE]
     return ids[:n]
 
 
+@dataclass
+class Known:
+    """Ids of words one after the other, and where each word's begin."""
+
+    number: dict[str, int] = field(default_factory=dict)
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def add(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.counts = np.concatenate([self.counts, counts])
+
+
+def gathered(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` (cut by ``counts``) one after the other, and where each ends."""
+    starts = (np.cumsum(counts) - counts)[which]
+    own = counts[which]
+    ends = np.cumsum(own)
+    return flat[np.repeat(starts - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 @dataclass
 class Vocabulary:
     """Merges, bytes and added tokens of a file, and a memo of words."""
 
     of_byte: np.ndarray
     pairs: dict[int, int]
-    raw: dict[int, bytes]
+    raw: pa.Array  # bytes of each id; of one that is none, nothing
     added: dict[str, int]
     cut: regex.Pattern | None
-    memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: Known = field(default_factory=Known)
     ranks: Ranks = field(init=False)
 
     def __post_init__(self) -> None:
         self.ranks = Ranks(self.pairs)
 
-    def new_words(self, texts: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of words: short ones of about one length together, long ones one by one."""
+    def learn(self, texts: list[str]) -> None:
+        """Ids of new words: short ones of about one length together, long ones one by one."""
         by_length: dict[int, list[tuple[str, bytes]]] = {}
         for text in texts:
+            if text in self.added:
+                self.known.add([text], np.array([self.added[text]], np.int32), np.ones(1, np.int64))
+                continue
             raw = text.encode("utf-8", "replace")
             # So many bytes have pairs for one full tree.
             by_length.setdefault((1 << max(1, (len(raw) - 2).bit_length())) + 1, []).append((text, raw))
-        found = {}
         for most, group in ((n, g[i : i + TOGETHER]) for n, g in by_length.items() for i in range(0, len(g), TOGETHER)):
             if most > LONGEST_TOGETHER:
-                found |= {t: tuple(merged(self.of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.pairs)) for t, raw in group}
+                for text, raw in group:
+                    ids = merged(self.of_byte[np.frombuffer(raw, np.uint8)].tolist(), self.pairs)
+                    self.known.add([text], np.array(ids, np.int32), np.array([len(ids)]))
                 continue
             sizes = np.array([len(raw) for _, raw in group])
-            ids = np.full((len(group), most), -1, np.int64)
-            ids[np.arange(ids.shape[1]) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)]
+            ids = np.full((len(group), most), -1, np.int32)
+            ids[np.arange(most) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join([raw for _, raw in group]), np.uint8)]
             ids = merged_words(np.ascontiguousarray(ids.T), self.ranks).T
-            flat = ids[ids >= 0].tolist()
-            ends = np.cumsum((ids >= 0).sum(1)).tolist()
-            found |= {t: tuple(flat[a:b]) for (t, _), a, b in zip(group, [0, *ends], ends)}
-        return found
-
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, as the file's own library finds them without special tokens of its own accord."""
-        cut = [[(part, words(part) if part not in self.added else None) for part in (self.cut.split(t) if self.cut else [t])] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = set()
-        for parts in cut:
-            for _, tokens in parts:
-                new.update(tokens or ())
-        new.difference_update(self.memo)
-        short = [w for w in new if len(w) <= LONGEST_KEPT]
-        self.memo |= self.new_words(short)
-        own = self.new_words([w for w in new if len(w) > LONGEST_KEPT])
-        kept = self.memo
-        found = []
-        for parts in cut:
-            ids: list[Iterable[int]] = []
-            for part, tokens in parts:
-                if tokens is None:
-                    ids.append((self.added[part],))
+            self.known.add([text for text, _ in group], ids[ids >= 0], (ids >= 0).sum(1))
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, as the file's own library finds them without special tokens of its own accord, and where each text's end."""
+        if len(self.known.number) > MEMO or len(self.known.flat) > MEMO_IDS:
+            self.known = Known()
+        tokens: list[str] = []
+        sizes = []
+        for text in texts:
+            before = len(tokens)
+            for part in self.cut.split(text) if self.cut else (text,):
+                if part in self.added:
+                    tokens.append(part)
                 else:
-                    ids.extend([kept[w] if w in kept else own[w] for w in tokens] if own else map(kept.__getitem__, tokens))
-            found.append(list(chain.from_iterable(ids)))
-        return found
+                    tokens += words(part)
+            sizes.append(len(tokens) - before)
+        self.learn(list(set(tokens).difference(self.known.number)))
+        which = np.fromiter(map(self.known.number.__getitem__, tokens), np.int64, len(tokens))
+        flat, ends = gathered(self.known.flat, self.known.counts, which)
+        return flat, np.concatenate([[0], ends])[np.cumsum(sizes, dtype=np.int64)]
 
     def ids(self, text: str) -> list[int]:
-        return self.ids_of([text])[0]
+        return self.ids_of([text])[0].tolist()
+
+    def texts(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The bytes of the ids of each text, as text; ids the file doesn't know stand for nothing, broken UTF-8 for U+FFFD."""
+        # One place more in front, so that ids from -1 on name a place.
+        at = np.clip(ids.to_numpy(zero_copy_only=False).astype(np.int64), -1, len(self.raw) - 1) + 1
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        parts = pa.ListArray.from_arrays(offsets, pa.concat_arrays([self.raw[-1:], self.raw]).take(pa.array(at)))
+        joined = pc.binary_join(parts, pa.scalar(b"", self.raw.type))
+        try:
+            return joined.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
 
-    def text(self, ids: Iterable[int]) -> str:
-        """The bytes of the ids as text; ids the file doesn't know stand for nothing, broken UTF-8 for U+FFFD."""
-        return b"".join([self.raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def text(self, ids: list[int]) -> str:
+        return self.texts(pa.array(ids, pa.int32()), np.array([len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=4)
@@ -295,9 +323,11 @@ def load(path: str) -> Vocabulary:
     for rank, pair in enumerate(model["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
         pairs.setdefault(vocab[left] << BITS | vocab[right], rank << BITS | vocab[left + right])
-    raw = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
+    bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
     tokens = {t["content"]: t["id"] for t in added}
-    raw |= {i: token.encode() for token, i in tokens.items()}
+    bytes_of |= {i: token.encode() for token, i in tokens.items()}
+    # The last place is for ids beyond the vocabulary.
+    raw = pa.array([bytes_of.get(i, b"") for i in range(max(bytes_of) + 2)], pa.large_binary())
     longest_first = sorted(tokens, key=len, reverse=True)
     cut = regex.compile(f"({'|'.join(map(regex.escape, longest_first))})") if tokens else None
     return Vocabulary(np.array([vocab[s] for s in signs], np.int64), pairs, raw, tokens, cut)
@@ -315,10 +345,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
     (name,) = fresh(docs, ids_col)
 
     def values(texts: list[bytes]) -> list[pa.Array]:
-        found = load(path).ids_of([t.decode("utf-8", "replace") for t in texts])
-        ends = np.cumsum([0, *map(len, found)])
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+        flat, ends = load(path).ids_of([t.decode("utf-8", "replace") for t in texts])
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))]
 
     field_ = T.StructField(name, T.ArrayType(T.IntegerType()))
     return append_columns(docs, text_col, [field_], values)
@@ -334,8 +362,7 @@ def decoded(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
         vocabulary = load(path)
         for batch in stream:
             ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-            flat = batch.column(at).flatten().to_pylist()
-            texts = [vocabulary.text(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+            texts = vocabulary.texts(pc.fill_null(batch.column(at).flatten(), -1), ends)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
