@@ -124,8 +124,7 @@ SOURCE_ROOTS = (
 # How many trailing package segments make two packages similar.
 SIMILAR_SEGMENTS = 3
 
-# Class names too general to match on.  Names of the projects
-# under study come on top, as a parameter (functions.names.generic_terms).
+# Class names too general to match on.
 CLASS_PREFIXES = (
     "Abstract", "Base", "Default", "Simple", "Basic", "Generic", "Standard",
     "Common", "Core", "Main", "Internal", "Impl",
@@ -143,7 +142,45 @@ COMMON_CLASSES = (
     "Message", "Error", "Type", "Kind", "Mode", "State", "Status", "Phase",
     "Stage",
 )
-COMMON_PROJECTS = ("Apache", "Spring", "Google", "Amazon", "Spark", "Airflow")
+# Project names.  Where a project writes capitals inside its name, the
+# spelling with one capital in front counts as well (functions.names.fixed_terms).
+PROJECT_NAMES = (
+    "Abdera", "Accumulo", "Ace", "ActiveMQ", "Airavata", "Ambari", "Amoro",
+    "Ant", "Apex", "Archiva", "Aries", "Asterixdb", "Atlas", "Aurora", "Avro",
+    "Axis", "Beam", "Bifromq", "Bookkeeper", "Brooklyn", "Bval", "Calcite",
+    "Camel", "Cassandra", "Causeway", "Cayenne", "Celeborn", "Chainsaw",
+    "Chemistry", "Chukwa", "Clerezza", "Cloudberry", "CloudStack", "Cocoon",
+    "Commons", "Continuum", "Creadur", "Crunch", "Curator", "CXF", "DataFu",
+    "DataSketches", "Ddlutils", "DeltaSpike", "Derby", "Directmemory",
+    "Directory", "DolphinScheduler", "Doris", "Drill", "Druid", "Dubbo",
+    "Eagle", "Empire", "Etch", "EventMesh", "Falcon", "Felix", "Fineract",
+    "Flink", "Fory", "FreeMarker", "FtpServer", "Geode", "Geronimo", "Giraph",
+    "Gobblin", "Gora", "Gravitino", "Groovy", "Guacamole", "Hadoop", "Hama",
+    "Harmony", "HBase", "Helix", "Hertzbeat", "Hive", "Hop", "HttpComponents",
+    "Hudi", "Iceberg", "Ignite", "InLong", "IoTDB", "Jackrabbit", "James",
+    "JClouds", "Jena", "JMeter", "Johnzon", "Joshua", "JSPWiki", "jUDDI",
+    "Kafka", "Karaf", "Knox", "Kylin", "Lens", "Lenya", "Linkis", "Logging",
+    "Lucene", "ManifoldCF", "Marmotta", "Maven", "MetaModel", "Metron", "MINA",
+    "Mnemonic", "MyFaces", "NetBeans", "NiFi", "Nutch", "ODE", "Odftoolkit",
+    "OFBiz", "Olingo", "Oltu", "Onami", "OODT", "Oozie", "OpenJPA",
+    "OpenMeetings", "OpenNLP", "OpenWebBeans", "ORC", "Ozone", "Paimon",
+    "Parquet", "PDFBox", "Pekko", "Phoenix", "Pig", "Pinot", "Pivot", "PLC4X",
+    "POI", "Polaris", "Polygene", "Portals", "Pulsar", "Qpid", "Rampart",
+    "Ranger", "Ratis", "Rave", "Reef", "RocketMQ", "Roller", "Royale", "Samza",
+    "Sandesha", "Santuario", "SeaTunnel", "Sedona", "Sentry", "ServiceComb",
+    "ServiceMix", "ShardingSphere", "ShenYu", "Shindig", "Shiro", "SkyWalking",
+    "Sling", "Solr", "Sqoop", "Stanbol", "Storm", "StormCrawler", "Stratos",
+    "StreamPark", "StreamPipes", "Streams", "Struts", "Submarine", "Synapse",
+    "Syncope", "SystemDS", "Tajo", "Tapestry", "Tez", "Tika", "Tiles",
+    "TinkerPop", "Tomcat", "TomEE", "TsFile", "Turbine", "Tuscany", "UIMA",
+    "Uniffle", "Unomi", "Usergrid", "Velocity", "VXQuery", "Whirr", "Wicket",
+    "Wink", "Wookie", "Xalan", "Xerces", "XMLBeans", "XMLGraphics", "Zeppelin",
+    "ZooKeeper",
+)
+# Names that count in this spelling alone.
+COMMON_PROJECTS = (
+    "ODF", "Apache", "Spring", "Google", "Amazon", "Spark", "Airflow",
+)
 
 # File names of a repository tree.
 TREE_TEST_NAMES = (

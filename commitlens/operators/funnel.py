@@ -155,10 +155,9 @@ def sort_candidates(candidates: DataFrame) -> DataFrame:
 
 def chunks(df: DataFrame, order: list[str], parts: int = fixed.SHORTLIST_PARTS) -> DataFrame:
     """Consecutive parts of ceil(n / parts) rows; only the last is shorter."""
-    numbered = number_rows(df, [], order, "_n")
-    total = df.select(F.count("*").alias("total")).scalar()
-    size = F.ceil(total / F.lit(parts))
-    return numbered.withColumn("part", F.floor((F.col("_n") - 1) / size) + 1).drop("_n")
+    numbered = number_rows(df, [], order, "_n", total="_total")
+    size = F.ceil(F.col("_total") / F.lit(parts))
+    return numbered.withColumn("part", F.floor((F.col("_n") - 1) / size) + 1).drop("_n", "_total")
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import names, paths
-from commitlens.operators.ranking import first_per_key
+from commitlens.operators.ranking import first_per_key, packed_order
+from commitlens.operators.walks import Walks
 from commitlens.session import cut
 
 ORDER = ("commit_seq", "change_seq")
-STEPS_PER_ROUND = 2
+ADDED = (*ORDER, "commit_hash", "commit_date", "author", "lines")
 
 
-def _when() -> Column:
-    return F.struct(*ORDER)
+def _timed(events: DataFrame) -> DataFrame:
+    """Events with their order as one number ``_at``."""
+    return events.withColumn("_at", packed_order(*ORDER))
 
 
 def select_changes(
@@ -50,18 +50,29 @@ def first_n_commits(changes: DataFrame, n: int) -> DataFrame:
 def commit_stats(changes: DataFrame) -> DataFrame:
     """Lines, files and Java files of each commit; all files count.
 
-    Date and author belong to the commit; as grouping columns they keep this
-    a hash aggregation, where the minimum of a text would sort every row.
+    A commit is its hash.  Date and author are those of its first change in
+    order; figures come from a hash aggregation, and only the first changes
+    are looked up for the two texts.
     """
     java = (
         paths.is_java_file(F.coalesce("new_path", F.lit("")))
         | paths.is_java_file(F.coalesce("old_path", F.lit("")))
     ) & F.col("change_type").isNotNull()
     author = F.coalesce("author", F.lit("Unknown")).alias("author")
-    return changes.groupBy("repo", "commit_hash", "commit_date", author).agg(
+    per_spelling = changes.groupBy("repo", "commit_hash", "commit_date", author).agg(
         F.sum(F.coalesce("added_lines", F.lit(0))).alias("total_lines"),
         F.count("*").alias("files_count"),
         F.count_if(java).alias("java_files_count"),
+        F.min(packed_order(*ORDER)).alias("_at"),
+    )
+    # One row per spelling of date and author, in practice one per commit.
+    first = Window.partitionBy("repo", "commit_hash").orderBy("_at")
+    whole = Window.partitionBy("repo", "commit_hash")
+    return (
+        per_spelling.withColumn("_n", F.row_number().over(first))
+        .withColumns({c: F.sum(c).over(whole) for c in ("total_lines", "files_count", "java_files_count")})
+        .where("_n = 1")
+        .drop("_n", "_at")
     )
 
 
@@ -98,109 +109,69 @@ def file_timeline(events: DataFrame) -> DataFrame:
 def effective_additions(events: DataFrame) -> DataFrame:
     """Per path the first ADD after the last DELETE, else the first ADD.
 
-    Two aggregations that combine before their shuffle around a lookup with
-    one row per deleted path; no path is ever sorted as a whole.
+    Hash aggregations over one number find the order of the chosen addition,
+    and its columns are looked up by that; no path is ever sorted.
     """
-    added = _when().alias("at")
-    info = F.struct(added, "commit_hash", "commit_date", "author", "lines")
+    timed = _timed(events)
     last_delete = (
-        events.where(F.col("type") == "DELETE")
-        .groupBy("repo", "path")
-        .agg(F.max(_when()).alias("_gone"))
+        timed.where(F.col("type") == "DELETE").groupBy("repo", "path").agg(F.max("_at").alias("_gone"))
     )
-    return (
-        events.where(F.col("type") == "ADD")
+    added = timed.where(F.col("type") == "ADD")
+    after = F.col("_gone").isNull() | (F.col("_at") > F.col("_gone"))
+    chosen = (
+        added.select("repo", "path", "_at")
         .join(last_delete, ["repo", "path"], "left")
         .groupBy("repo", "path")
-        .agg(
-            F.min(F.when(F.col("_gone").isNull() | (_when() > F.col("_gone")), info)).alias(
-                "_after"
-            ),
-            F.min(info).alias("_first"),
-        )
-        .select("repo", "path", F.coalesce("_after", "_first").alias("added"))
+        .agg(F.min(F.when(after, F.col("_at"))).alias("_after"), F.min("_at").alias("_first"))
+        .select("repo", "path", F.coalesce("_after", "_first").alias("_at"))
     )
+    return added.join(chosen, ["repo", "path", "_at"]).select("repo", "path", *ADDED)
 
 
 def deletions(events: DataFrame, forward: DataFrame) -> DataFrame:
     """Paths whose last event is a DELETE and that were not renamed away."""
-    last = (
-        file_timeline(events)
-        .groupBy("repo", "path")
-        .agg(F.max(F.struct(F.struct(*ORDER), "type", "commit_date", "commit_hash")).alias("last"))
-        .where(F.col("last.type") == "DELETE")
-    )
+    timed = _timed(events).where(F.col("type") != "RENAME")
+    last = timed.groupBy("repo", "path").agg(F.max("_at").alias("_at"))
     renamed_away = forward.select("repo", F.col("src").alias("path"))
-    return last.join(renamed_away, ["repo", "path"], "left_anti").select(
-        "repo",
-        "path",
-        F.col("last.commit_date").alias("deletion_date"),
-        F.col("last.commit_hash").alias("deletion_commit"),
+    return (
+        timed.where(F.col("type") == "DELETE")
+        .join(last, ["repo", "path", "_at"], "left_semi")
+        .join(renamed_away, ["repo", "path"], "left_anti")
+        .select(
+            "repo",
+            "path",
+            F.col("commit_date").alias("deletion_date"),
+            F.col("commit_hash").alias("deletion_commit"),
+        )
     )
 
 
 def rename_edges(events: DataFrame, direction: str) -> DataFrame:
     """One edge per path: its last rename forward, or backward."""
     src, dst = ("old_path", "path") if direction == "forward" else ("path", "old_path")
-    return (
-        events.where(F.col("type") == "RENAME")
-        .groupBy("repo", F.col(src).alias("src"))
-        .agg(F.max_by(F.col(dst), _when()).alias("dst"))
-    )
-
-
-def _step(walking: DataFrame, edges: DataFrame) -> DataFrame:
-    """One edge further; walks that have ended stay where they are."""
-    ahead = edges.select(F.col("repo").alias("_repo"), F.col("src").alias("_src"), "dst")
-    goes_on = ~F.col("ended") & (F.col("repo") == F.col("_repo")) & (F.col("last") == F.col("_src"))
-    ends = F.col("dst").isNull() | F.array_contains("trail", F.col("dst"))
-    return walking.join(ahead, goes_on, "left").select(
-        "repo",
-        "path",
-        F.coalesce("dst", "last").alias("last"),
-        F.when(ends, F.col("trail")).otherwise(F.array_append("trail", F.col("dst"))).alias("trail"),
-        ends.alias("ended"),
+    renames = _timed(events.where(F.col("type") == "RENAME")).select(
+        "repo", F.col(src).alias("src"), F.col(dst).alias("dst"), "_at"
     )
+    last = renames.groupBy("repo", "src").agg(F.max("_at").alias("_at"))
+    return renames.join(last, ["repo", "src", "_at"]).select("repo", "src", "dst")
 
 
 def follow(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Walk from each ``path`` along the edges to the end.
 
     ``last`` is where the walk ends: a path without an edge or, on a cycle,
-    the first path seen twice.  ``trail`` lists the paths seen, in order.  Only
-    paths with an edge walk; a round takes the walks still under way two steps
-    on, so there are half as many rounds as the longest chain has steps.
+    the first path seen twice.  ``trail`` lists the paths seen, in order.
     """
-    heads = edges.select("repo", F.col("src").alias("path"))
-    walking = starts.join(heads, ["repo", "path"], "left_semi").select(
-        "repo",
-        "path",
-        F.col("path").alias("last"),
-        F.array("path").alias("trail"),
-        F.lit(False).alias("ended"),
-    )
-    rounds = []
-    while not rounds or not walking.isEmpty():
-        for _ in range(STEPS_PER_ROUND):
-            walking = _step(walking, edges)
-        walking = cut(walking, "walk")
-        rounds.append(walking.where("ended").drop("ended"))
-        walking = walking.where("not ended")
-    walked = reduce(DataFrame.unionByName, rounds)
-    return starts.select("repo", "path").join(walked, ["repo", "path"], "left").select(
-        "repo",
-        "path",
-        F.coalesce("last", "path").alias("last"),
-        F.coalesce("trail", F.array("path")).alias("trail"),
-    )
+    return Walks(edges).trails(starts)
+
+
+def _added_paths(events: DataFrame) -> DataFrame:
+    return events.where(F.col("type") == "ADD").select("repo", "path").distinct()
 
 
 def rename_origins(events: DataFrame, backward: DataFrame) -> DataFrame:
-    """Original path of every added path, with the paths walked."""
-    added = events.where(F.col("type") == "ADD").select("repo", "path").distinct()
-    return follow(added, backward).select(
-        "repo", "path", F.col("last").alias("original"), "trail"
-    )
+    """Original path of every added path."""
+    return Walks(backward).lasts(_added_paths(events)).withColumnRenamed("last", "original")
 
 
 def rename_chains(events: DataFrame, backward: DataFrame, forward: DataFrame) -> DataFrame:
@@ -209,44 +180,35 @@ def rename_chains(events: DataFrame, backward: DataFrame, forward: DataFrame) ->
     Paths come in walk order from the original on.  On a backward cycle the
     rest of the cycle follows, as it belongs to the file as well.
     """
-    tail = F.slice(
-        "trail",
-        F.array_position("trail", F.col("original")).cast("int"),
-        F.size("trail"),
+    back = Walks(backward)
+    starting = cut(
+        back.lasts(_added_paths(events)).select("repo", F.col("last").alias("path")).distinct(), "starting"
     )
-    starting = (
-        rename_origins(events, backward)
-        .groupBy("repo", "original")
-        .agg(F.min(tail).alias("earlier"))
-    )
-    walked = follow(starting.select("repo", F.col("original").alias("path")), forward)
-    return walked.withColumnRenamed("path", "original").join(
-        starting, ["repo", "original"]
-    ).select(
-        "repo",
-        "original",
-        F.col("last").alias("final"),
-        F.array_union("trail", "earlier").alias("all_paths"),
+    chains = Walks(forward).trails(starting)
+    if back.looped:
+        earlier = back.trails(starting).select("repo", "path", F.col("trail").alias("earlier"))
+        chains = chains.join(earlier, ["repo", "path"]).withColumn("trail", F.array_union("trail", "earlier"))
+    return chains.select(
+        "repo", F.col("path").alias("original"), F.col("last").alias("final"), F.col("trail").alias("all_paths")
     )
 
 
-def build_files(
-    changes: DataFrame, commits: DataFrame, projects: list[str] | tuple[str, ...] = ()
-) -> DataFrame:
+def build_files(changes: DataFrame, commits: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """One row per file identity, keyed by its final path.
 
-    ``commits`` are the commit_stats of the same changes.
+    ``commits`` are the commit_stats of the same changes, ``terms`` names too
+    general to match on besides the fixed ones.
     """
     events = cut(file_events(changes), "events")
     backward = cut(rename_edges(events, "backward"), "backward")
     forward = cut(rename_edges(events, "forward"), "forward")
-    chains = rename_chains(events, backward, forward)
+    chains = cut(rename_chains(events, backward, forward), "chains")
     return files_from_chains(
         chains,
         effective_additions(events),
         deletions(events, forward),
         commits,
-        projects,
+        terms,
     )
 
 
@@ -255,57 +217,50 @@ def files_from_chains(
     additions: DataFrame,
     deleted: DataFrame,
     commits: DataFrame,
-    projects: list[str] | tuple[str, ...] = (),
+    terms: DataFrame | None = None,
 ) -> DataFrame:
-    steps = chains.select(
-        "repo", "original", "final", F.posexplode("all_paths").alias("step", "path"), "all_paths"
-    )
-    ends = F.col("path") == F.col("final")
+    added = cut(_timed(additions), "additions")
+    steps = chains.select("repo", "original", F.posexplode("all_paths").alias("step", "path"))
     # The original's addition, or that of the first path of the chain with one.
+    first = (
+        steps.join(added.select("repo", "path"), ["repo", "path"])
+        .groupBy("repo", "original")
+        .agg(F.min("step").alias("step"))
+    )
     found = (
-        steps.join(additions, ["repo", "path"], "left")
-        .join(deleted, ["repo", "path"], "left")
-        .groupBy("repo", "original", "final", "all_paths")
-        .agg(
-            F.min(
-                F.when(F.col("added").isNotNull(), F.struct("step", "added"))
-            ).alias("first_added"),
-            F.max(
-                F.when(ends, F.struct("deletion_date", "deletion_commit"))
-            ).alias("gone"),
-        )
-        .where(F.col("first_added").isNotNull())
-        .withColumn("added", F.col("first_added.added"))
+        chains.join(first, ["repo", "original"])
+        .withColumn("path", F.element_at("all_paths", F.col("step") + 1))
+        .join(added, ["repo", "path"])
+        .drop("path", "step")
     )
-    # Chains that end at one path are one file: the latest addition stands.
+    found = cut(found, "chain_adds")
+    # Chains that end at one path are one file: the latest addition stands, of equal ones the last original.
+    latest = found.groupBy("repo", "final").agg(F.max("_at").alias("_at"), F.count("*").alias("chains"))
+    one = Window.partitionBy("repo", "final").orderBy(F.desc("original"))
     files = (
-        found.groupBy("repo", F.col("final").alias("path"))
-        .agg(
-            F.max(
-                F.struct(F.col("added.at").alias("at"), "original", "added", "gone", "all_paths")
-            ).alias("file"),
-            F.count("*").alias("chains"),
-        )
+        found.join(latest, ["repo", "final", "_at"])
+        .withColumn("_n", F.row_number().over(one))
+        .where("_n = 1")
+        .withColumnRenamed("final", "path")
+        .join(deleted, ["repo", "path"], "left")
         .select(
             "repo",
             "path",
             "chains",
-            F.when(F.col("file.original") != F.col("path"), F.col("file.original")).alias(
-                "original_path"
-            ),
-            "file.added.commit_hash",
-            "file.added.commit_date",
-            "file.added.author",
-            F.col("file.added.lines").alias("file_lines"),
-            F.col("file.at.commit_seq").alias("commit_seq"),
-            F.col("file.at.change_seq").alias("change_seq"),
-            F.col("file.gone.deletion_commit").isNotNull().alias("is_deleted"),
-            "file.gone.deletion_date",
-            "file.gone.deletion_commit",
-            F.col("file.all_paths").alias("all_paths"),
+            F.when(F.col("original") != F.col("path"), F.col("original")).alias("original_path"),
+            "commit_hash",
+            "commit_date",
+            "author",
+            F.col("lines").alias("file_lines"),
+            "commit_seq",
+            "change_seq",
+            F.col("deletion_commit").isNotNull().alias("is_deleted"),
+            "deletion_date",
+            "deletion_commit",
+            "all_paths",
         )
     )
-    described = describe_files(files, projects)
+    described = describe_files(files, terms)
     totals = commits.select(
         "repo", "commit_hash", "total_lines", "files_count", "java_files_count"
     )
@@ -317,9 +272,8 @@ def files_from_chains(
     )
 
 
-def describe_files(files: DataFrame, projects: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def describe_files(files: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Test flags, class and package names, candidates of each file."""
-    terms = names.generic_terms(projects)
     is_test = paths.is_test_file(F.col("path"))
     every_class = F.array_distinct(F.transform("all_paths", paths.class_name))
     every_package = F.array_distinct(F.transform("all_paths", paths.package_path))
@@ -332,11 +286,14 @@ def describe_files(files: DataFrame, projects: list[str] | tuple[str, ...] = ())
         every_class.alias("class_names"),
         every_package.alias("packages"),
     )
-    candidates = F.when(
-        F.col("is_test"),
-        names.merged_candidates(F.array_union(F.array("class_name"), "class_names"), terms),
-    ).otherwise(F.array("class_name"))
-    return named.withColumn("candidates", candidates).withColumn(
+    own = F.array(F.struct(F.col("class_name").alias("name"), F.lit(True).alias("sure")))
+    offers = F.when(
+        F.col("is_test"), names.merged_offers(F.array_union(F.array("class_name"), "class_names"))
+    ).otherwise(own)
+    offered = named.withColumn("candidates", offers)
+    if terms is not None:
+        offered = cut(offered, "offers")
+    return names.without_terms(offered, ["repo", "path"], "candidates", terms).withColumn(
         "base_class",
         F.when(F.size("candidates") > 0, F.col("candidates")[0]).otherwise(F.col("class_name")),
     )

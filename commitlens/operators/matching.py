@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import paths
 from commitlens.functions.values import hours_between
+from commitlens.operators.ranking import number_rows
 from commitlens.session import cut
 
 SAME, SIMILAR, DIFFERENT = 0, 1, 2
+AGE_BITS = 42  # more files than that no table has
+AGES = 1 << AGE_BITS
 METHODS = (
     "exact_class_same_package",
     "exact_class_similar_package",
@@ -40,22 +43,25 @@ def _package_keys(packages: Column, any_package: Column) -> Column:
     return F.concat(same, similar, anywhere)
 
 
-def class_index(files: DataFrame) -> DataFrame:
-    """Best production file per repository, class name and package key.
+def by_age(files: DataFrame) -> DataFrame:
+    """Production files with ``age``: their place by addition, then path.
+
+    One number per file, so that the best offer of any group is the minimum of
+    a number, which combines before the shuffle without a sort.
+    """
+    prods = files.where("not is_test").select("repo", "path", "commit_seq", "change_seq", "class_names", "packages")
+    return number_rows(prods, [], ["commit_seq", "change_seq", "repo", "path"], "age")
+
+
+def class_index(aged: DataFrame) -> DataFrame:
+    """Best production file (its age) per repository, class name and package key.
 
     Best is the one added first; the path settles equal additions.
     """
-    offers = (
-        files.where("not is_test")
-        .select(
-            "repo",
-            F.struct("commit_seq", "change_seq", "path").alias("prod"),
-            "class_names",
-            F.explode(_package_keys(F.col("packages"), F.lit(True))).alias("k"),
-        )
-        .select("repo", "prod", "k.method", "k.key", F.explode("class_names").alias("class_name"))
-    )
-    return offers.groupBy("repo", "class_name", "method", "key").agg(F.min("prod").alias("prod"))
+    offers = aged.select(
+        "repo", "age", "class_names", F.explode(_package_keys(F.col("packages"), F.lit(True))).alias("k")
+    ).select("repo", "age", "k.method", "k.key", F.explode("class_names").alias("class_name"))
+    return offers.groupBy("repo", "class_name", "method", "key").agg(F.min("age").alias("age"))
 
 
 def test_offers(files: DataFrame) -> DataFrame:
@@ -76,36 +82,57 @@ def test_offers(files: DataFrame) -> DataFrame:
     )
 
 
+def _met(files: DataFrame, aged: DataFrame) -> DataFrame:
+    return test_offers(files).join(class_index(aged), ["repo", "class_name", "method", "key"])
+
+
+def _named(found: DataFrame, aged: DataFrame) -> DataFrame:
+    """``found`` with the path of the production file of its ``age``."""
+    return found.join(aged.select("age", F.col("path").alias("prod_file")), "age").drop("age")
+
+
 def candidate_matches(files: DataFrame) -> DataFrame:
     """Best production file of each test, candidate and method."""
-    return (
-        test_offers(files)
-        .join(class_index(files), ["repo", "class_name", "method", "key"])
+    aged = cut(by_age(files), "ages")
+    best = (
+        _met(files, aged)
         .groupBy("repo", "test_file", "candidate_rank", "class_name", "method")
-        .agg(F.min("prod").alias("prod"))
+        .agg(F.min("age").alias("age"))
     )
+    return _named(best, aged)
 
 
 def best_matches(files: DataFrame) -> DataFrame:
-    """One production file per test: candidate order, then method, then age."""
-    ranked = F.struct("candidate_rank", "method", "prod", "class_name")
-    return (
-        test_offers(files)
-        .join(class_index(files), ["repo", "class_name", "method", "key"])
+    """One production file per test: candidate order, then method, then age.
+
+    The three are one number: the order of a candidate, two bits for the
+    method and AGE_BITS for the age.
+    """
+    aged = cut(by_age(files), "ages")
+    rank = (F.col("candidate_rank").cast("long") * 4 + F.col("method")) * AGES + F.col("age")
+    best = (
+        _met(files, aged)
         .groupBy("repo", "test_file")
-        .agg(F.min(ranked).alias("best"))
+        .agg(F.min(rank).alias("best"))
         .select(
             "repo",
             "test_file",
-            F.col("best.prod.path").alias("prod_file"),
-            F.col("best.class_name").alias("matched_class"),
-            F.col("best.candidate_rank").alias("candidate_rank"),
-            F.col("best.method").alias("method"),
-            F.element_at(F.array(*map(F.lit, METHODS)), F.col("best.method") + 1).alias(
-                "match_method"
-            ),
+            F.expr(f"cast(best div {4 * AGES} as int)").alias("candidate_rank"),
+            F.expr(f"cast(best div {AGES} % 4 as int)").alias("method"),
+            (F.col("best") % AGES).alias("age"),
         )
     )
+    tried = files.where("is_test").select("repo", F.col("path").alias("test_file"), "candidates")
+    method = F.element_at(F.array(*map(F.lit, METHODS)), F.col("method") + 1)
+    return _named(best, aged).join(tried, ["repo", "test_file"]).select(
+        "repo",
+        "test_file",
+        "prod_file",
+        F.element_at("candidates", F.col("candidate_rank") + 1).alias("matched_class"),
+        "candidate_rank",
+        "method",
+        method.alias("match_method"),
+    )
 
 
 def _side(files: DataFrame, side: str) -> DataFrame:

@@ -15,33 +15,48 @@ def number_rows(
     order: list[str],
     name: str = "n",
     slices: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... in ``order`` (a total order).
 
     One window per key would sort a whole key in one task.  Here the rows are
-    range-partitioned on key and order into even slices, numbered inside
-    their slice, and moved up by the rows of earlier slices of the key.
+    range-partitioned on key and order and sorted, which is the only shuffle
+    of rows; the place of a row in its partition comes with it and is written
+    down.  What a key has in earlier partitions is a prefix sum over a few
+    figures, one for each key and partition, that are joined back.  ``total``
+    names a column for the number of rows of the key.
     """
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Writing the slices down keeps them the same for the count and the rank.
+    by = [*keys, *order]
+    # Partition and row of each row, taken after the sort.
     sliced = cut(
-        df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()),
+        df.repartitionByRange(slices, *by)
+        .sortWithinPartitions(*by)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_slice", F.shiftright("_id", 33)),
         "slices",
     )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.min("_id").alias("_first"), F.count("*").alias("_size"))
     starts = sizes.select(
-        *keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return (
-        join_groups(sliced, starts, [*keys, "_slice"])
-        .withColumn(name, F.row_number().over(inside) + F.col("_start"))
-        .select(*df.columns, name)
+        *keys,
+        "_slice",
+        (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_start"),
+        *([F.sum("_size").over(whole).alias(total)] if total else []),
     )
+    numbered = join_groups(sliced, starts, [*keys, "_slice"]).withColumn(name, F.col("_id") + F.col("_start"))
+    return numbered.select(*df.columns, name, *([total] if total else []))
+
+
+def packed_order(high: str, low: str) -> Column:
+    """Two non-negative longs as one number of the same order.
+
+    The extreme of a number is found by hash aggregation, which combines before
+    the shuffle; that of a struct or a text would sort every row first.
+    """
+    return F.col(high).cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(low).cast("decimal(19,0)")
 
 
 def first_per_key(

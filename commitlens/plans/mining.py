@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitlens.functions import names
 from commitlens.functions.values import percent
-from commitlens.operators import history, matching
+from commitlens.operators import history, matching, validation
 from commitlens.session import cut
 
 COUNTERS = (
@@ -22,30 +24,52 @@ COUNTERS = (
 
 @dataclass
 class Analysis:
-    """Tables of one analysis.  Commits, files and matches are written once."""
+    """Tables of one analysis, each written once."""
 
     commits: DataFrame
     files: DataFrame
     matches: DataFrame
+    failed: DataFrame
 
-    @property
+    @cached_property
     def pairs(self) -> DataFrame:
-        return matching.make_pairs(self.files, self.matches)
+        return cut(matching.make_pairs(self.files, self.matches), "pairs")
 
-    @property
+    @cached_property
     def unmatched(self) -> DataFrame:
-        return matching.unmatched_tests(self.files, self.matches)
+        return cut(matching.unmatched_tests(self.files, self.matches), "unmatched")
 
-    @property
+    @cached_property
     def summary(self) -> DataFrame:
-        return repo_summary(self.commits, self.files, self.pairs)
-
-
-def analyze(changes: DataFrame, projects: list[str] | tuple[str, ...] = ()) -> Analysis:
-    """Two passes over the changes: one for commits, one for file events."""
-    commits = cut(history.commit_stats(changes), "commits")
-    files = cut(history.build_files(changes, commits, projects), "files")
-    return Analysis(commits, files, cut(matching.best_matches(files), "matches"))
+        return cut(repo_summary(self.commits, self.files, self.pairs), "summary")
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """The rows of ``summary`` and, with a null ``repo``, their totals."""
+        return report_rows(self.summary)
+
+
+def analyze(
+    changes: DataFrame,
+    terms: DataFrame | list[str] | tuple[str, ...] | None = None,
+    repos: list[str] | DataFrame | None = None,
+    since=None,
+    to=None,
+    max_commits: int | None = None,
+) -> Analysis:
+    """Files, pairs and counters of every repository that can be analyzed.
+
+    ``terms`` are names too general to match on besides the fixed ones (a list,
+    or the first column of a table of any size).  The other parameters bound
+    the scan.  Changes are written once, good and bad rows apart; a repository
+    with a bad row is a row of ``failed`` and takes no part in the rest.
+    """
+    spark = changes.sparkSession
+    changes = history.select_changes(changes, repos, since, to, max_commits)
+    good, failed = validation.split_changes(changes)
+    commits = cut(history.commit_stats(good), "commits")
+    files = cut(history.build_files(good, commits, names.term_table(spark, terms)), "files")
+    return Analysis(commits, files, cut(matching.best_matches(files), "matches"), failed)
 
 
 def repo_summary(commits: DataFrame, files: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -80,7 +104,24 @@ def shares(total: Column) -> list[Column]:
 
 def global_totals(summary: DataFrame) -> DataFrame:
     """Sums over all repositories and the shares of the three classes."""
-    totals = summary.agg(
-        F.count("*").alias("repositories"), *[F.sum(c).alias(c) for c in COUNTERS]
+    return report_rows(summary).where("repo is null").select("repositories", *COUNTERS, *SHARES)
+
+
+SHARES = ("test_first_pct", "same_commit_pct", "prod_first_pct")
+
+
+def report_rows(summary: DataFrame) -> DataFrame:
+    """One row per repository and one, with a null ``repo``, for all of them.
+
+    A rollup: rows and totals come from one pass.  ``repositories`` counts the
+    repositories of a row, ``analyzed`` those with tests.  An empty summary has
+    no totals.
+    """
+    totals = summary.rollup("repo").agg(
+        F.count("*").alias("repositories"),
+        F.count_if(F.col("test_files_added") > 0).alias("analyzed"),
+        *[F.sum(c).alias(c) for c in COUNTERS],
     )
-    return totals.select("*", *shares(F.col("matched_pairs")))
+    matched = F.col("matched_pairs")
+    rate = percent(matched, F.col("test_files_added") - F.col("test_helpers"))
+    return totals.select("repo", "repositories", "analyzed", *COUNTERS, *shares(matched), rate.alias("match_rate_pct"))

@@ -8,6 +8,7 @@ from commitlens.operators import stats
 from commitlens.operators.ranking import group_quantiles
 from commitlens.queries.oracle import sql
 from commitlens.queries.registry import query, rounded
+from commitlens.sources import layout
 
 ONE_REPO = "repo_7"
 
@@ -285,7 +286,7 @@ def commit_index(t):
     sql(f"SELECT * FROM commits_table WHERE repository = '{ONE_REPO}'", "commits_table"),
 )
 def filter_one_repo(t):
-    return t.commits_table.where(F.col("repository") == ONE_REPO)
+    return layout.one_repository(t.commits_table, ONE_REPO)
 
 
 @query(

@@ -20,7 +20,6 @@ CLASSES = (
 )
 PACKAGES = ("org/acme/core/io", "org/acme/core/net", "org/acme/util", "acme")
 GENERATIONS = ("", "Next", "NextGen")
-PROJECTS = ("Kafka",)
 SEQ_STEP = 2**40
 LINE_STEP = 2**52
 
@@ -37,35 +36,52 @@ def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _path_names(spark: SparkSession) -> DataFrame:
-    """The text of every path code; a fixed 12 * 8 * 2 * 12 * 3 rows.
+#: Two of three orders add files of their own; the rest work on files that many orders touch.
+OWN_FILES = "l_orderkey % 3 <> 0"
 
-    Rows of the history carry the code, so path text is put together once
-    per code and not in every filter on a path.
-    """
-    code = F.col("id")
-    t, q = code % 3, F.expr("id div 3") % 12
-    is_test = F.expr("id div 36") % 2 == 1
-    supp, part = F.expr("id div 72") % 8, F.expr("id div 576")
-    before = F.concat(
+
+def _paths(lines: DataFrame) -> DataFrame:
+    """``lines`` with the path before (``now``) and after a rename (``next``)."""
+    own, odd = F.expr(OWN_FILES), F.col("l_suppkey") % 2 == 1
+    lines = lines.withColumns(
+        {
+            "part": F.when(own, F.col("l_orderkey") % 12).when(odd, 0).otherwise(F.col("l_partkey") % 12),
+            "supp": F.when(own, F.expr("l_orderkey div 12 % 8")).when(odd, 7).otherwise(F.col("l_suppkey") % 8),
+            "kind": F.when(own | odd, 0).otherwise(F.col("q") % 12),
+        }
+    )
+    is_test = F.col("l_linenumber") % 2 == 1
+    stem = F.concat(
         F.lit("mod"),
-        supp % 2,
+        F.col("supp") % 2,
         F.when(is_test, "/src/test/java/").otherwise("/src/main/java/"),
-        _pick(PACKAGES, F.floor(supp / 2)),
-        F.when(is_test & (q == 2), "/Test").otherwise("/"),
-        _pick(CLASSES, part),
+        _pick(PACKAGES, F.expr("supp div 2")),
+        F.when(is_test & (F.col("kind") == 2), "/Test").otherwise("/"),
+        _pick(CLASSES, F.col("part")),
+        F.when(own, F.concat(F.lit("Of"), "l_orderkey")).otherwise(""),
     )
-    after = (
-        F.when(~is_test, ".java")
-        .when(q % 6 == 3, "Tests.java")
-        .when(q % 6 == 4, "TestCase.java")
-        .when(q % 6 == 5, "IT.java")
+    # Even suppliers rename around a circle of three names; odd ones share a file and rename it along ten.
+    around = F.col("supp") % 2 == 0
+
+    def generation(t: Column) -> Column:
+        along = F.when(t == 0, "").otherwise(F.concat(F.lit("V"), t))
+        return F.when(own, F.when(t == F.col("t"), "").otherwise("V1")).otherwise(
+            F.when(around, _pick(GENERATIONS, t % 3)).otherwise(along)
+        )
+
+    ending = (
+        F.when(~is_test & (F.col("kind") == 7), ".xml")
+        .when(~is_test, ".java")
+        .when(F.col("kind") % 6 == 3, "Tests.java")
+        .when(F.col("kind") % 6 == 4, "TestCase.java")
+        .when(F.col("kind") % 6 == 5, "IT.java")
         .otherwise("Test.java")
     )
-    return spark.range(12 * 576).select(
-        code.alias("path_code"),
-        F.concat(before, _pick(GENERATIONS, t), after).alias("now"),
-        F.concat(before, _pick(GENERATIONS, (t + 1) % 3), after).alias("next"),
+    return lines.withColumns(
+        {
+            "now": F.concat(stem, generation(F.col("t")), ending),
+            "next": F.concat(stem, generation(F.col("t") + 1), ending),
+        }
     )
 
 
@@ -82,53 +98,61 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.expr("cast(l_quantity as int)")
     cents = F.expr("cast(round(l_extendedprice * 100) as bigint)")
     shipped = F.expr("datediff(l_shipdate, date '1970-01-01')")
-    code = (
-        ((F.col("l_partkey") % 12 * 8 + F.col("l_suppkey") % 8) * 2 + F.col("l_linenumber") % 2)
-        * 12
-        + q % 12
-    ) * 3 + t % 3
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         q.alias("q"), cents.alias("cents"), d.alias("d"), t.alias("t"), shipped.alias("shipped"),
-        code.alias("path_code"),
     )
     rest = F.md5(F.concat_ws("|", "l_partkey", "l_suppkey", "q", "cents", "d", "t", "shipped"))
-    now, following = F.col("now"), F.col("next")
-    return (
+    joined = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(_path_names(spark), "path_code")
-        .select(
-            F.concat(F.lit("repo_"), "c_nationkey").alias("repo"),
-            F.expr(
-                f"datediff(o_orderdate, date '1970-01-01') * {SEQ_STEP}L + o_orderkey"
-            ).alias("commit_seq"),
-            (
-                F.col("l_linenumber").cast("bigint") * LINE_STEP
-                + F.conv(F.substring(rest, 1, 13), 16, 10).cast("bigint")
-            ).alias("change_seq"),
-            F.md5(F.concat(F.lit("c"), "o_orderkey")).alias("commit_hash"),
-            F.col("o_orderdate").alias("commit_date"),
-            F.col("c_name").alias("author"),
-            F.when(F.col("d") == 10, "DELETE")
-            .when(F.col("d") == 9, "RENAME")
-            .when(F.col("d") >= 5, "MODIFY")
-            .otherwise("ADD")
-            .alias("change_type"),
-            F.when(F.col("d") >= 5, now).alias("old_path"),
-            F.when(F.col("d") == 9, following)
-            .when(F.col("d") != 10, now)
-            .alias("new_path"),
-            F.col("q").cast("bigint").alias("added_lines"),
-        )
     )
+    now, following = F.col("now"), F.col("next")
+    return _paths(joined).select(
+        F.concat(F.lit("repo_"), "c_nationkey").alias("repo"),
+        F.expr(
+            f"datediff(o_orderdate, date '1970-01-01') * {SEQ_STEP}L + o_orderkey"
+        ).alias("commit_seq"),
+        (
+            F.col("l_linenumber").cast("bigint") * LINE_STEP
+            + F.conv(F.substring(rest, 1, 13), 16, 10).cast("bigint")
+        ).alias("change_seq"),
+        F.md5(F.concat(F.lit("c"), "o_orderkey")).alias("commit_hash"),
+        F.col("o_orderdate").alias("commit_date"),
+        F.col("c_name").alias("author"),
+        F.when(F.col("d") == 10, "DELETE")
+        .when(F.col("d") == 9, "RENAME")
+        .when(F.col("d") >= 5, "MODIFY")
+        .otherwise("ADD")
+        .alias("change_type"),
+        F.when(F.col("d") >= 5, now).alias("old_path"),
+        F.when(F.col("d") == 9, following)
+        .when(F.col("d") != 10, now)
+        .alias("new_path"),
+        F.col("q").cast("bigint").alias("added_lines"),
+    )
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names too general to match on besides the fixed ones: one per part, most of them never met."""
+    name = F.when(F.col("p_partkey") % 12 == 8, "OrderParserState").otherwise(F.concat(F.lit("Part"), "p_partkey"))
+    return table(spark, sf_dir, "part").select(name.alias("term"))
+
+
+TERMS_SQL = """
+terms AS (
+  SELECT CASE WHEN p_partkey % 12 = 8 THEN 'OrderParserState' ELSE 'Part' || p_partkey END AS term FROM part
+)"""
 
 
 FILE_CHANGES_SQL = f"""
 raw_lines AS (
-  SELECT *, CAST(round(l_discount * 100) AS INT) AS d,
-         CAST(round(l_tax * 100) AS INT) AS t, CAST(l_quantity AS INT) AS q
-  FROM lineitem
+  SELECT *, CASE WHEN own THEN l_orderkey % 12 WHEN l_suppkey % 2 = 1 THEN 0 ELSE l_partkey % 12 END AS part,
+         CASE WHEN own THEN l_orderkey // 12 % 8 WHEN l_suppkey % 2 = 1 THEN 7 ELSE l_suppkey % 8 END AS supp,
+         CASE WHEN own OR l_suppkey % 2 = 1 THEN 0 ELSE q % 12 END AS kind
+  FROM (SELECT *, {OWN_FILES} AS own, CAST(round(l_discount * 100) AS INT) AS d,
+               CAST(round(l_tax * 100) AS INT) AS t, CAST(l_quantity AS INT) AS q
+        FROM lineitem)
 ), named_lines AS (
   SELECT 'repo_' || c_nationkey AS repo,
          date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * {SEQ_STEP}
@@ -140,15 +164,19 @@ raw_lines AS (
          md5('c' || o_orderkey) AS commit_hash, o_orderdate AS commit_date, c_name AS author,
          CASE WHEN d = 10 THEN 'DELETE' WHEN d = 9 THEN 'RENAME' WHEN d >= 5 THEN 'MODIFY'
               ELSE 'ADD' END AS change_type,
-         'mod' || (l_suppkey % 2)
+         'mod' || (supp % 2)
            || CASE WHEN l_linenumber % 2 = 1 THEN '/src/test/java/' ELSE '/src/main/java/' END
-           || {_sql_list(PACKAGES)}[CAST((l_suppkey % 8) // 2 AS INT) + 1]
-           || CASE WHEN l_linenumber % 2 = 1 AND q % 12 = 2 THEN '/Test' ELSE '/' END
-           || {_sql_list(CLASSES)}[CAST(l_partkey % 12 AS INT) + 1] AS stem,
-         {_sql_list(GENERATIONS)}[t % 3 + 1] AS now_gen,
-         {_sql_list(GENERATIONS)}[(t + 1) % 3 + 1] AS next_gen,
-         CASE WHEN l_linenumber % 2 = 0 THEN '.java' WHEN q % 6 = 3 THEN 'Tests.java'
-              WHEN q % 6 = 4 THEN 'TestCase.java' WHEN q % 6 = 5 THEN 'IT.java'
+           || {_sql_list(PACKAGES)}[CAST(supp // 2 AS INT) + 1]
+           || CASE WHEN l_linenumber % 2 = 1 AND kind = 2 THEN '/Test' ELSE '/' END
+           || {_sql_list(CLASSES)}[CAST(part AS INT) + 1]
+           || CASE WHEN own THEN 'Of' || l_orderkey ELSE '' END AS stem,
+         CASE WHEN own THEN '' WHEN supp % 2 = 0 THEN {_sql_list(GENERATIONS)}[t % 3 + 1]
+              WHEN t = 0 THEN '' ELSE 'V' || t END AS now_gen,
+         CASE WHEN own THEN 'V1' WHEN supp % 2 = 0 THEN {_sql_list(GENERATIONS)}[(t + 1) % 3 + 1]
+              ELSE 'V' || (t + 1) END AS next_gen,
+         CASE WHEN l_linenumber % 2 = 0 AND kind = 7 THEN '.xml'
+              WHEN l_linenumber % 2 = 0 THEN '.java' WHEN kind % 6 = 3 THEN 'Tests.java'
+              WHEN kind % 6 = 4 THEN 'TestCase.java' WHEN kind % 6 = 5 THEN 'IT.java'
               ELSE 'Test.java' END AS ending,
          CAST(q AS BIGINT) AS added_lines
   FROM raw_lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -163,7 +191,11 @@ raw_lines AS (
 
 
 def commit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commit n of a repository has parents n div 2 and, for some, 2n div 3."""
+    """Commits of a repository in order, with side branches and merges.
+
+    Commit n follows n - 1, but one in 20 goes back 12 commits, which leaves
+    those between to a side branch.  Some commits merge commit 2n div 3 as well.
+    """
     changes = file_changes(spark, sf_dir)
     commits = changes.groupBy("repo", "commit_seq").agg(
         F.min("commit_date").alias("commit_date"),
@@ -171,9 +203,9 @@ def commit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("added_lines").alias("lines_changed"),
     )
     numbered = number_rows(commits, ["repo"], ["commit_seq"], "n")
-    half = F.expr("n div 2")
+    first = F.expr("if(n % 20 = 7 and n > 12, n - 12, n - 1)")
     third = F.expr(f"if((commit_seq % {SEQ_STEP}L) % 5 = 0, (2 * n) div 3, 0)")
-    parents = F.filter(F.array_distinct(F.array(half, third)), lambda p: p > 0)
+    parents = F.filter(F.array_distinct(F.array(first, third)), lambda p: p > 0)
     return numbered.select(
         "repo",
         "n",
@@ -198,36 +230,38 @@ numbered AS (
         FROM file_changes GROUP BY repo, commit_seq)
 ), commit_graph AS (
   SELECT repo, n, commit_seq % {SEQ_STEP} AS orderkey, md5(repo || '/' || n) AS oid,
-         CASE WHEN n = 1 THEN []
-              WHEN orderkey % 5 = 0 AND (2 * n) // 3 > 0 AND (2 * n) // 3 <> n // 2
-              THEN [md5(repo || '/' || (n // 2)), md5(repo || '/' || ((2 * n) // 3))]
-              ELSE [md5(repo || '/' || (n // 2))] END AS parents,
+         list_transform(list_filter(
+           CASE WHEN up = merged OR orderkey % 5 <> 0 THEN [up] ELSE [up, merged] END, lambda p: p > 0),
+           lambda p: md5(repo || '/' || p)) AS parents,
          commit_date, files_changed, lines_changed
-  FROM numbered
+  FROM (SELECT *, CASE WHEN n % 20 = 7 AND n > 12 THEN n - 12 ELSE n - 1 END AS up,
+               (2 * n) // 3 AS merged FROM numbered)
 )"""
 
 
 def branches(graph: DataFrame) -> DataFrame:
-    newest = graph.groupBy("repo").agg(F.max_by("oid", "n").alias("head"))
-    others = graph.where((F.col("orderkey") % 97 == 3) | (F.col("n") <= 8)).select(
-        "repo",
-        F.concat(F.lit("br_"), F.col("n").cast("string")).alias("branch"),
-        F.col("oid").alias("head"),
+    """``main`` at the newest commit, and a branch at every commit that no other follows or merges."""
+    newest = graph.groupBy("repo").agg(F.max("n").alias("n"))
+    merged = graph.select("repo", F.explode("parents").alias("oid")).distinct()
+    heads = graph.join(merged, ["repo", "oid"], "left_anti").select("repo", "n", F.col("oid").alias("head"))
+    name = F.when(F.col("_newest").isNotNull(), "main").otherwise(F.concat(F.lit("br_"), F.col("n").cast("string")))
+    return heads.join(newest.withColumn("_newest", F.lit(True)), ["repo", "n"], "left").select(
+        "repo", name.alias("branch"), "head"
     )
-    return newest.select("repo", F.lit("main").alias("branch"), "head").unionByName(others)
 
 
 BRANCHES_SQL = """
 branches AS (
-  SELECT repo, 'main' AS branch, arg_max(oid, n) AS head FROM commit_graph GROUP BY repo
-  UNION ALL
-  SELECT repo, 'br_' || n, oid FROM commit_graph WHERE orderkey % 97 = 3 OR n <= 8
+  SELECT repo, CASE WHEN n = newest THEN 'main' ELSE 'br_' || n END AS branch, oid AS head
+  FROM (SELECT *, max(n) OVER (PARTITION BY repo) AS newest FROM commit_graph) c
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT repo, unnest(parents) AS parent FROM commit_graph) p
+                    WHERE p.repo = c.repo AND p.parent = c.oid)
 )"""
 
 
 def pull_request_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of at most 50 nested pull requests."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == 0)
+    orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     node = F.struct(
         F.col("o_orderkey").alias("number"),

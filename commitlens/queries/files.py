@@ -172,6 +172,29 @@ def write_report_json(t):
     )
 
 
+@query(
+    "write_report_totals",
+    sql("""SELECT count(*) AS total_repositories, count(*) AS successfully_analyzed,
+      CAST(sum(total_commits) AS BIGINT) AS commits, CAST(sum(matched_pairs) AS BIGINT) AS pairs,
+      CAST(sum(test_first_count) AS BIGINT) AS test_first, round(100 * sum(same_commit_count) / sum(matched_pairs), 6) AS same_commit_pct
+      FROM summary""", "summary"),
+)
+def write_report_totals(t):
+    path = t.scratch("report-totals")
+    totals = writers.report_totals(t.analysis.report)
+    writers.write_json(totals, path)
+    back = t.spark.read.schema(totals.schema).json(path)
+    sums = F.col("aggregate_statistics")
+    return back.select(
+        "total_repositories",
+        "successfully_analyzed",
+        sums["total_commits_analyzed"].alias("commits"),
+        sums["total_matched_pairs"].alias("pairs"),
+        sums["total_test_first"].alias("test_first"),
+        F.round(sums["same_commit_percentage"], 6).alias("same_commit_pct"),
+    )
+
+
 @query(
     "write_report_pairs",
     sql("""SELECT repo, test_file, prod_file, match_method, test_original_file,
@@ -187,37 +210,67 @@ def write_report_pairs(t):
     )
 
 
-@query(
-    "write_adjusted",
-    sql("""SELECT repository, test_file, prod_file, classification, same_commit_is_outlier,
-      classification_adj, substr(test_commit, 1, 8) AS test_commit FROM adjusted""", "adjusted"),
-)
-def write_adjusted(t):
+ADJUSTED_PAIRS = sql("""SELECT repository, test_file, prod_file, classification, same_commit_is_outlier,
+      classification_adj, substr(test_commit, 1, 8) AS test_commit FROM adjusted""", "adjusted")
+
+
+def adjusted_folder(t) -> str:
     folder = t.scratch("adjusted-out")
     a = t.adjustment
     writers.write_adjusted(folder, t.commits_table, a.pairs, a.audit, a.outliers)
+    return folder
+
+
+@query("write_adjusted", ADJUSTED_PAIRS)
+def write_adjusted(t):
     schema = schemas.PAIRS + ", same_commit_is_outlier boolean, classification_adj string"
-    return readers.scan_csv(t.spark, f"{folder}/pairs", schema).select(
+    return readers.scan_csv(t.spark, f"{adjusted_folder(t)}/pairs", schema).select(
         "repository", "test_file", "prod_file", "classification", "same_commit_is_outlier",
         "classification_adj", "test_commit",
     )
 
 
-CANDIDATE_ORDER = "repo, test_ratio, test_files, java_files, num_commits, stars"
+@query(
+    "write_adjusted_outliers",
+    sql("""SELECT 'outlier' AS part, repository, substr(commit_hash, 1, 8) AS commit_hash,
+        total_lines_added::DOUBLE AS lines, total_files_count::DOUBLE AS files, out_due_to_lines AS by_lines FROM outliers
+      UNION ALL SELECT 'commit', repository, substr(commit_hash, 1, 8), total_lines_added::DOUBLE,
+        total_files_count::DOUBLE, NULL FROM commits_table""", "flagged"),
+)
+def write_adjusted_outliers(t):
+    folder = adjusted_folder(t)
+    outliers = readers.scan_csv(
+        t.spark, f"{folder}/outlier_commits",
+        """repository string, commit_hash string, total_lines_added double, total_files_count double,
+           out_due_to_lines boolean, out_due_to_files boolean, thr_lines double, thr_files double""",
+    )
+    commits = readers.scan_csv(t.spark, f"{folder}/commits", schemas.COMMITS)
+
+    def rows(df, part, by_lines):
+        return df.select(
+            F.lit(part).alias("part"), "repository", "commit_hash", F.col("total_lines_added").cast("double").alias("lines"),
+            F.col("total_files_count").cast("double").alias("files"), by_lines.alias("by_lines"),
+        )
+
+    flags = F.col("out_due_to_lines")
+    return rows(outliers, "outlier", flags).unionByName(rows(commits, "commit", F.lit(None).cast("boolean")))
+
+
+CANDIDATE_COLUMNS = """repo, test_ratio, test_files, java_files, num_commits, stars, has_ci_system,
+    has_build_system, main_language, forks, first_commit_date, last_commit_date, project_life_days"""
+SPAN = ("first_commit_date", "last_commit_date")
 
 
-@query("write_candidates", sql(f"SELECT {CANDIDATE_ORDER} FROM candidates", "candidates"))
+@query("write_candidates", sql(f"SELECT {CANDIDATE_COLUMNS} FROM candidates", "candidates"))
 def write_candidates(t):
     path = t.scratch("candidates-out")
     writers.write_csv(t.candidates, path)
-    return readers.scan_csv_by_name(t.spark, [path], schemas.CANDIDATES).select(
-        *CANDIDATE_ORDER.split(", ")
-    )
+    return without_zone(readers.scan_csv_by_name(t.spark, [path], schemas.CANDIDATES), *SPAN)
 
 
 @query(
     "write_missing",
-    sql("""SELECT repo, java_files FROM candidates
+    sql(f"""SELECT {CANDIDATE_COLUMNS} FROM candidates
       WHERE repo NOT IN (SELECT repo FROM shortlist)""", "candidates"),
 )
 def write_missing(t):
@@ -225,14 +278,12 @@ def write_missing(t):
     writers.write_csv(
         funnel.missing_rows(t.candidates, funnel.filter_final(t.candidates)), path
     )
-    return readers.scan_csv_by_name(t.spark, [path], schemas.CANDIDATES).select(
-        "repo", "java_files"
-    )
+    return without_zone(readers.scan_csv_by_name(t.spark, [path], schemas.CANDIDATES), *SPAN)
 
 
 @query(
     "write_chunks",
-    sql("""SELECT repo, java_files, CAST((row_number() OVER (ORDER BY test_ratio DESC, repo) - 1)
+    sql(f"""SELECT {CANDIDATE_COLUMNS}, CAST((row_number() OVER (ORDER BY test_ratio DESC, repo) - 1)
         // CAST(ceil((SELECT count(*) FROM shortlist) / 5) AS BIGINT) + 1 AS INTEGER) AS part
       FROM shortlist""", "candidates"),
 )
@@ -243,16 +294,12 @@ def write_chunks(t):
     writers.write_chunks(parts, path)
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name != "part"]
     schema = ", ".join([*columns, "part int"])
-    return readers.scan_csv(t.spark, path, schema).select("repo", "java_files", "part")
+    return readers.scan_csv(t.spark, path, schema)
 
 
-@query(
-    "scan_partitioned_csvs",
-    sql("SELECT repo, stars, num_commits, test_ratio, has_ci_system FROM candidates",
-        "candidates"),
-)
+@query("scan_partitioned_csvs", sql(f"SELECT {CANDIDATE_COLUMNS} FROM candidates", "candidates"))
 def scan_partitioned_csvs(t):
-    # Two parts with different column orders, as written at different times.
+    # Parts with two column orders, as written at different times.
     folder = t.scratch("parts")
     good = funnel.filter_final(t.candidates)
     writers.write_csv(good, f"{folder}/part1")
@@ -261,7 +308,7 @@ def scan_partitioned_csvs(t):
     both = readers.scan_csv_by_name(
         t.spark, [f"{folder}/part1", f"{folder}/part2"], schemas.CANDIDATES
     )
-    return both.select("repo", "stars", "num_commits", "test_ratio", "has_ci_system")
+    return without_zone(both, *SPAN)
 
 
 @query(
@@ -282,18 +329,20 @@ def write_combined(t):
 
 @query(
     "write_categories",
-    f"""SELECT doc_id, source AS project, {category_sql("(source || ' ' || text)")} AS category
+    f"""SELECT doc_id, source AS project, {category_sql("(source || ' ' || text)")} AS category,
+          nullif(substr(text, 1, 50), '') AS description_snippet
         FROM documents""",
 )
 def write_categories(t):
     meta = t.given("documents").selectExpr(
         "doc_id", "source as name", "text as description", "'Java' as language"
     )
-    found = funnel.categorize(meta, keep=["doc_id"])
-    return through_csv(
-        t, found.select("doc_id", "project", "category"),
-        "doc_id bigint, project string, category string", "categories-out",
+    path = t.scratch("categories-out")
+    writers.write_csv(funnel.categorize(meta, keep=["doc_id"]), path)
+    rows, _ = readers.scan_csv_checked(
+        t.spark, path, "doc_id bigint, project string, category string, description_snippet string"
     )
+    return rows
 
 
 @query("write_size_stats", sql(mean_median_sql("true"), "adjusted"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from commitlens.functions import names
-from commitlens.operators import history, matching
+from commitlens.operators import history, matching, validation
 from commitlens.plans import mining
-from commitlens.queries import derived
-from commitlens.queries.oracle import quoted, sql
+from commitlens.queries.oracle import sql
 from commitlens.queries.registry import query
-from commitlens.sources import writers
+from commitlens.sources import layout, writers
 
 WINDOW = ("1996-01-01", "1999-12-31")
 FIRST_COMMITS = 100
@@ -97,11 +96,7 @@ def file_timeline(t):
     ),
 )
 def effective_addition(t):
-    found = history.effective_additions(t.events)
-    return found.select(
-        "repo", "path", "added.at.*", *[f"added.{c}" for c in
-                                         ("commit_hash", "commit_date", "author", "lines")]
-    )
+    return history.effective_additions(t.events)
 
 
 @query("deletion_info", sql("SELECT * FROM deletions", "deletions"))
@@ -138,7 +133,7 @@ def rename_last_wins(t):
 
 @query("rename_original_path", sql("SELECT repo, path, original FROM origins", "origins"))
 def rename_original_path(t):
-    return history.rename_origins(t.events, t.backward).drop("trail")
+    return history.rename_origins(t.events, t.backward)
 
 
 @query("starting_paths", sql("SELECT DISTINCT repo, original FROM origins", "origins"))
@@ -180,16 +175,60 @@ def order_preserving_dedup(t):
 @query(
     "set_union_terms",
     sql(
-        f"""SELECT class_name, class_name IN ({quoted(names.generic_terms(derived.PROJECTS))})
-        AS is_generic, count(*) AS files FROM files GROUP BY ALL""",
+        """SELECT class_name, class_name IN (SELECT word FROM generic) AS is_generic, count(*) AS files
+        FROM files GROUP BY ALL""",
         "files",
     ),
 )
 def set_union_terms(t):
-    generic = F.col("class_name").isin(*names.generic_terms(derived.PROJECTS))
-    return t.files.groupBy("class_name", generic.alias("is_generic")).agg(
-        F.count("*").alias("files")
-    )
+    classes = t.files.groupBy("class_name").agg(F.count("*").alias("files"))
+    return names.is_generic(classes, "class_name", t.terms)
+
+
+# Rows that a broken history may hold, by the keys of their orders.
+BROKEN = {
+    "commit_hash": "repo = 'repo_3' AND commit_seq % 11 = 0",
+    "change_seq": "repo IN ('repo_3', 'repo_5') AND commit_seq % 7 = 0",
+    "commit_date": "repo = 'repo_8' AND added_lines = 13",
+}
+TWO_NAMES = "repo = 'repo_13' AND added_lines % 2 = 0"
+
+
+@query(
+    "failed_repositories",
+    sql(
+        f"""SELECT repo, CASE WHEN count(*) FILTER (commit_hash IS NULL) > 0 THEN 'a change has no commit hash'
+          WHEN count(*) FILTER (change_seq IS NULL) > 0 THEN 'a change has no place in its commit'
+          WHEN count(*) FILTER (commit_date IS NULL) > 0 THEN 'a change has no date'
+          ELSE 'a commit has two authors' END AS error,
+          count(*) FILTER (commit_hash IS NULL OR change_seq IS NULL OR commit_date IS NULL)
+            + count(DISTINCT commit_hash) FILTER (authors > 1) AS rows
+        FROM (SELECT *, len(list_distinct(list(author) OVER (PARTITION BY repo, commit_hash))) AS authors FROM (
+          SELECT * REPLACE (CASE WHEN NOT ({BROKEN["commit_hash"]}) THEN commit_hash END AS commit_hash,
+            CASE WHEN NOT ({BROKEN["change_seq"]}) THEN change_seq END AS change_seq,
+            CASE WHEN NOT ({BROKEN["commit_date"]}) THEN commit_date END AS commit_date,
+            author || CASE WHEN {TWO_NAMES} THEN '!' ELSE '' END AS author) FROM file_changes))
+        WHERE commit_hash IS NULL OR change_seq IS NULL OR commit_date IS NULL OR (commit_hash IS NOT NULL AND authors > 1)
+        GROUP BY repo""",
+        "file_changes",
+    ),
+)
+def failed_repositories(t):
+    lost = {c: F.when(~F.expr(where), F.col(c)) for c, where in BROKEN.items()}
+    author = F.when(F.expr(TWO_NAMES), F.concat("author", F.lit("!"))).otherwise(F.col("author"))
+    failed, _ = validation.failed_repositories(t.changes.withColumns({**lost, "author": author}))
+    return failed
+
+
+@query(
+    "scan_stored_history",
+    sql("""SELECT * FROM file_changes WHERE repo IN ('repo_1', 'repo_7')
+        AND commit_date >= TIMESTAMP '1997-01-01'""", "file_changes"),
+)
+def scan_stored_history(t):
+    path = t.scratch("history")
+    layout.write_history(t.changes, path)
+    return layout.read_history(t.spark, path, ["repo_1", "repo_7"], since="1997-01-01")
 
 
 CANDIDATE_MATCHES = """
@@ -213,10 +252,7 @@ WHERE r = 1"""
 
 
 def _candidate_matches(t):
-    return matching.candidate_matches(t.files).select(
-        "repo", "test_file", "candidate_rank", "class_name", "method",
-        F.col("prod.path").alias("prod_file"),
-    )
+    return matching.candidate_matches(t.files)
 
 
 @query("class_name_index_join", sql(CANDIDATE_MATCHES, "matches"))

@@ -44,6 +44,10 @@ class Tables:
     def changes(self) -> DataFrame:
         return derived.file_changes(self.spark, self.sf_dir)
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        return derived.terms(self.spark, self.sf_dir)
+
     @cached_property
     def commit_stats(self) -> DataFrame:
         return cut(history.commit_stats(self.changes), "commits")
@@ -71,22 +75,23 @@ class Tables:
             history.effective_additions(self.events),
             history.deletions(self.events, self.forward),
             self.commit_stats,
-            derived.PROJECTS,
+            self.terms,
         )
         return cut(found, "files")
 
     @cached_property
     def analysis(self) -> mining.Analysis:
         matches = cut(matching.best_matches(self.files), "matches")
-        return mining.Analysis(self.commit_stats, self.files, matches)
+        failed = self.spark.createDataFrame([], "repo string, error string, rows bigint")
+        return mining.Analysis(self.commit_stats, self.files, matches, failed)
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return cut(self.analysis.pairs, "pairs")
+        return self.analysis.pairs
 
     @cached_property
     def summary(self) -> DataFrame:
-        return mining.repo_summary(self.commit_stats, self.files, self.pairs)
+        return self.analysis.summary
 
     @cached_property
     def commits_table(self) -> DataFrame:

@@ -122,15 +122,13 @@ classes AS (
 @query(
     "extract_base_class_name",
     on_varied("SELECT * FROM candidates_of",
-              CLASS_SQL + ", " + oracle.candidate_blocks("classes", "candidates_of")),
+              CLASS_SQL + "," + derived.TERMS_SQL + "," + oracle.GENERIC_SQL + ", "
+              + oracle.candidate_blocks("classes", "candidates_of")),
 )
 def extract_base_class_name(t):
     classes = varied(t).select(paths.class_name(F.col("path")).alias("class_name")).distinct()
-    terms = names.generic_terms(derived.PROJECTS)
-    return classes.select(
-        "class_name",
-        names.production_candidates(F.col("class_name"), terms).alias("candidates"),
-    )
+    offered = classes.withColumn("candidates", names.candidate_offers(F.col("class_name")))
+    return names.without_terms(offered, ["class_name"], "candidates", t.terms)
 
 
 def category_sql(text: str, keywords=None, decisive: str = fixed.RETIRED) -> str:

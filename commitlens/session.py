@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 # Runtime settings every plan in this package counts on.  A hot repository,
 # commit, path or class is split by AQE's skew join, which also has to work
@@ -62,6 +63,15 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(seen: Observation, *names: str) -> dict[str, int]:
+    """Counts an action has made on its way; zeros where there was nothing to run over, as Spark then reports none."""
+    try:
+        found = seen.get
+    except Py4JJavaError:
+        found = {}
+    return {name: found.get(name) or 0 for name in names}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder, under the name of this application."""
     owner = f"commitlens-{spark.sparkContext.applicationId}"

@@ -109,25 +109,6 @@ def test_files_agree_with_sequential_reading(spark, seed):
         assert got == want
 
 
-def test_walk_on_chains_and_cycles(spark):
-    edges = spark.createDataFrame(
-        [("r", a, b) for a, b in ["xy", "yz", "pq", "qp", "op"]], "repo string, src string, dst string"
-    )
-    starts = spark.createDataFrame([("r", c) for c in "xyzpqon"], "repo string, path string")
-    got = {r.path: (r["last"], r.trail) for r in history.follow(starts, edges).collect()}
-    assert got == {
-        "x": ("z", ["x", "y", "z"]), "y": ("z", ["y", "z"]), "z": ("z", ["z"]),
-        "p": ("p", ["p", "q"]), "q": ("q", ["q", "p"]), "o": ("p", ["o", "p", "q"]),
-        "n": ("n", ["n"]),
-    }
-
-
-def test_walk_without_edges(spark):
-    starts = spark.createDataFrame([("r", "a")], "repo string, path string")
-    edges = spark.createDataFrame([], "repo string, src string, dst string")
-    assert [tuple(r) for r in history.follow(starts, edges).collect()] == [("r", "a", "a", ["a"])]
-
-
 def test_events_and_commit_totals(spark):
     rows = [
         ("r", 1, "ADD", None, "a/generated/X.java", 5),

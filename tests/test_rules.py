@@ -3,7 +3,6 @@
 import itertools
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import names, paths, values
@@ -113,7 +112,6 @@ def test_package_path(spark):
 
 
 def test_production_candidates(spark):
-    terms = names.generic_terms(["Kafka"])
     check(
         spark,
         {
@@ -138,48 +136,83 @@ def test_production_candidates(spark):
             "TestFoo": ["TestFoo"],
             "ÄpfelÖlTest": ["ÄpfelÖl", "Äpfel"],
         },
-        lambda c: names.production_candidates(c, terms),
+        lambda c: names.names_of(names.candidate_offers(c)),
     )
 
 
 def test_merged_candidates_keep_first_place(spark):
     df = spark.createDataFrame([(["FooBarTest", "FooBarBazTest"],)], "x array<string>")
-    merged = names.merged_candidates(F.col("x"), names.generic_terms())
+    merged = names.names_of(names.merged_offers(F.col("x")))
     assert df.select(merged).first()[0] == ["FooBar", "FooBarBaz"]
 
 
-def test_generic_terms():
-    assert {"Abstract", "Test", "Utils", "App", "Spark"} <= set(names.generic_terms())
-    assert names.project_terms(["commons-csv", "kafka", "commons-io"]) == ["Commons", "Kafka"]
-    with pytest.raises(ValueError):
-        names.generic_terms([f"T{i}" for i in range(names.MOST_TERMS)])
-
-
-def similar_by_segments(a, b):
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-
-    def main(p):
-        return p.replace("/test/", "/main/").replace("/tests/", "/main/")
-
-    if main(a) == main(b):
-        return True
-    x = [s for s in a.split("/") if s]
-    y = [s for s in b.split("/") if s]
-    return len(x) >= 3 and len(y) >= 3 and x[-3:] == y[-3:]
-
-
-def test_packages_similar_agrees_with_pairwise_comparison(spark):
+def test_fixed_terms():
+    known = set(names.fixed_terms())
+    assert {"Abstract", "Test", "Utils", "App", "Spark", "Camel", "Hive", "ODF", "jUDDI", "Juddi"} <= known
+    assert {"HBase", "Hbase", "ZooKeeper", "Zookeeper", "PLC4X", "Plc4x", "MINA", "Mina"} <= known
+    assert not {"Odf", "HBASE", "Foo"} & known
+
+
+def test_project_terms_from_a_table(spark):
+    repos = spark.createDataFrame([("commons-csv",), ("kafka",), ("commons_io",), ("-x",), (None,), ("",)], "repo string")
+    assert {r.term for r in names.project_terms(repos).collect()} == {"Commons", "Kafka"}
+
+
+def test_a_million_terms_of_a_table(spark):
+    terms = spark.range(1_000_000).select(F.concat(F.lit("Term"), "id").alias("name"))
+    terms = names.term_table(spark, terms.unionByName(spark.createDataFrame([("FileUtils",), ("Ab",)], "name string")))
+    rows = [(1, ["FileUtilsCopyTest", "FileUtilsTest"]), (2, ["Term77Test"]), (3, ["KafkaTest"]), (4, []), (5, ["AbcTest"]), (6, ["Term77XTest", "FooBarTest"])]
+    df = spark.createDataFrame(rows, "id int, x array<string>").withColumn("c", names.merged_offers(F.col("x")))
+    kept = names.without_terms(df, ["id"], "c", terms)
+    assert kept.columns == ["id", "x", "c"]
+    assert {r.id: r.c for r in kept.collect()} == {
+        1: ["FileUtilsCopy", "File"], 2: [], 3: [], 4: [], 5: ["Abc"], 6: ["Term77X", "FooBar"]
+    }
+
+
+def test_terms_as_a_list_or_none(spark):
+    df = spark.createDataFrame([(1, ["FooBarBazTest"])], "id int, x array<string>").withColumn("c", names.merged_offers(F.col("x")))
+    assert names.term_table(spark, None) is None
+    listed = names.term_table(spark, ["FooBar"])
+    assert names.without_terms(df, ["id"], "c", listed).first().c == ["FooBarBaz"]
+    assert names.without_terms(df, ["id"], "c", None).first().c == ["FooBarBaz", "FooBar"]
+
+
+PACKAGE_CASES = [
+    ("a/b", "a/b", True),
+    ("", "", False),
+    ("", "a/b/c", False),
+    ("a/b", "a/c", False),
+    ("x/a/b/c", "y/a/b/c", True),
+    ("a/b/c", "y/z/a/b/c", True),
+    ("x/b/c", "y/b/c", False),
+    ("b/c", "x/b/c", False),
+    ("m/test/a", "m/main/a", True),
+    ("m/tests/a", "m/main/a", True),
+    ("m/test/a", "m/tests/a", True),
+    ("test/a", "main/a", False),
+    ("m/test", "m/main", False),
+    ("m/main/a", "n/main/a", False),
+    ("k/m/main/a", "n/m/main/a", True),
+    ("a//b/c", "x/a/b/c", True),
+]
+
+
+def test_packages_similar(spark):
+    df = spark.createDataFrame(PACKAGE_CASES, "a string, b string, wanted boolean")
+    got = df.select("*", paths.packages_similar(F.col("a"), F.col("b")).alias("got")).collect()
+    assert [(r.a, r.b, r.got) for r in got] == PACKAGE_CASES
+
+
+def test_packages_similar_is_symmetric_and_sees_common_tails(spark):
     rng = random.Random(7)
-    words = ["a", "b", "test", "tests", "main"]
-    packages = ["", "a", "m/test/a", "m/main/a", "m/tests/a", "x/a/b/main", "a/b/main"]
-    packages += ["/".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(25)]
-    rows = list(itertools.product(packages, packages))
-    df = spark.createDataFrame(rows, "a string, b string")
-    got = df.select("a", "b", paths.packages_similar(F.col("a"), F.col("b"))).collect()
-    assert [r[2] for r in got] == [similar_by_segments(r[0], r[1]) for r in got]
+    packages = ["/".join(rng.choices(["a", "b", "test", "main"], k=rng.randint(1, 5))) for _ in range(30)]
+    df = spark.createDataFrame(list(itertools.product(packages, packages)), "a string, b string")
+    similar = paths.packages_similar
+    rows = df.select("a", "b", similar(F.col("a"), F.col("b")).alias("x"), similar(F.col("b"), F.col("a")).alias("y")).collect()
+    assert all(r.x == r.y for r in rows)
+    assert all(r.x for r in rows if r.a == r.b)
+    assert all(r.x for r in rows if len(r.a.split("/")) >= 3 and r.b.split("/")[-3:] == r.a.split("/")[-3:])
 
 
 def test_same_empty_package_is_the_same(spark):
