@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from commitlens.functions import fixed, paths
 from commitlens.functions.values import category, full_text, whole_days_between
 from commitlens.operators.ranking import number_rows
+from commitlens.session import cut
 
 SHORTLIST_ORDER = (
     "repo", "test_ratio", "test_files", "java_files", "num_commits", "stars",
@@ -18,16 +19,29 @@ SHORTLIST_ORDER = (
 
 
 def repo_commit_span(commits: DataFrame) -> DataFrame:
-    """Commits of each repository and its first and last one."""
-    at = F.struct("commit_date", "commit_hash")
-    return commits.groupBy("repo").agg(
+    """Commits of each repository and its first and last one, by date and hash.
+
+    Commits are numbered in that order, so that the first and last of a
+    repository are the extremes of a number, found by hash aggregation.
+    """
+    aged = number_rows(
+        commits.select("repo", "commit_date", "commit_hash", "author"), [], ["commit_date", "commit_hash", "repo"], "_age"
+    )
+    aged = cut(aged, "ages")
+    spans = aged.groupBy("repo").agg(
         F.count("*").alias("num_commits"),
         F.min("commit_date").alias("first_commit_date"),
         F.max("commit_date").alias("last_commit_date"),
-        F.min_by("commit_hash", at).alias("first_commit"),
-        F.max_by("commit_hash", at).alias("last_commit"),
-        F.min_by("author", at).alias("first_author"),
-        F.max_by("author", at).alias("last_author"),
+        F.min("_age").alias("_first"),
+        F.max("_age").alias("_last"),
+    )
+    for end in ("first", "last"):
+        named = aged.select(
+            F.col("_age").alias(f"_{end}"), F.col("commit_hash").alias(f"{end}_commit"), F.col("author").alias(f"{end}_author")
+        )
+        spans = spans.join(named, f"_{end}")
+    return spans.select(
+        "repo", "num_commits", "first_commit_date", "last_commit_date", "first_commit", "last_commit", "first_author", "last_author"
     )
 
 

@@ -31,8 +31,9 @@ def adjust_pairs(
     judged = adjust.commits_with_pairs(commits, pairs)
     # Written down, so the join with all commits knows how small they are.
     thresholds = cut(adjust.quantile_thresholds(judged, q_lines, q_files), "thresholds")
-    flagged = adjust.flag_commits(judged, thresholds)
-    adjusted = adjust.relabel_pairs(pairs, flagged, thresholds)
+    # Both feed several outputs.
+    flagged = cut(adjust.flag_commits(judged, thresholds), "flagged")
+    adjusted = cut(adjust.relabel_pairs(pairs, flagged, thresholds), "adjusted")
     return Adjustment(
         thresholds,
         flagged,

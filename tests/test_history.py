@@ -236,3 +236,24 @@ def test_popular_class_does_not_spell_out_its_pairs(spark):
     assert [tuple(r) for r in methods] == [(0, 2000), (2, 2000)]
     far = analysis.matches.where("method = 2").select("prod_file").distinct().collect()
     assert [r[0] for r in far] == ["m/src/main/java/o/a/p0/Hot.java"]
+
+
+def test_no_step_of_a_history_sorts_to_aggregate(spark):
+    events = history.file_events(changes_frame(spark, random_rows(4)))
+    forward = history.rename_edges(events, "forward")
+    steps = (
+        history.effective_additions(events),
+        history.deletions(events, forward),
+        forward,
+        history.rename_edges(events, "backward"),
+        history.commit_stats(changes_frame(spark, random_rows(4))),
+    )
+    for step in steps:
+        assert "SortAggregate" not in step._jdf.queryExecution().toString()
+
+
+def test_two_spellings_of_an_author_are_one_commit(spark):
+    rows = changes_frame(spark, [("r", 1, "ADD", None, "a/X.java", 5), ("r", 1, "ADD", None, "a/Y.java", 7)])
+    rows = rows.withColumn("author", F.when(F.col("new_path") == "a/X.java", "Ann").otherwise("ann"))
+    (stats,) = history.commit_stats(rows).collect()
+    assert (stats.author, stats.total_lines, stats.files_count, stats.java_files_count) == ("Ann", 12, 2, 2)
