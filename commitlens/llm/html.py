@@ -364,19 +364,34 @@ def label(net: Labeller, pages: list[list[tuple]], s: Settings) -> list[list[boo
     return out
 
 
+def sample_of(pages: DataFrame, id_col: str, html_col: str, size: int) -> list[str]:
+    """The ``size`` pages with the smallest hashes of id and html, equal ones once.
+
+    Tasks send hashes only; then the pages up to the last of them are fetched,
+    so what reaches the driver is that many pages however many tasks there are.
+    """
+    key = F.struct(F.xxhash64(id_col), F.xxhash64(html_col))
+    full = pages.filter(F.length(html_col) > 0).select(key.alias("key"), F.col(html_col).alias("html"))
+    keys = [r.key for r in full.select("key").distinct().orderBy("key").limit(size).collect()]
+    if not keys:
+        return []
+    last = F.struct(*(F.lit(x) for x in keys[-1]))
+    found = full.filter(F.col("key") <= last).dropDuplicates(["key"]).collect()
+    return [r.html for r in sorted(found, key=lambda r: r.key)]
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", settings: Settings | None = None) -> DataFrame:
     """``pages`` without the html, with text and n_chars, appended last.
 
     The labeller is fitted on at most ``settings.sample`` pages (those with the
-    smallest hash of their id); every page is read whole.  A null or empty page
+    smallest hashes of id and html); every page is read whole.  A null or empty page
     has an empty text, as has a page without a block of content; equal pages give
     equal texts; an empty table gives none.  New columns whose names ``pages``
     already has get an underscore.
     """
     s, _ = settings or Settings(), prepared(pages.sparkSession)
     text, n_chars = fresh(pages, "text", "n_chars")
-    sample = pages.filter(F.length(html_col) > 0).orderBy(F.xxhash64(id_col), id_col, html_col)
-    net = train([r[0] for r in sample.limit(s.sample).select(html_col).collect()], s)
+    net = train(sample_of(pages, id_col, html_col, s.sample), s)
     given = [c for c in pages.columns if c != html_col]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
