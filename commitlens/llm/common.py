@@ -32,7 +32,17 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder, well compressed, and read it back: ends lineage and gives true sizes."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def words(text: Column) -> Column:
@@ -121,7 +131,8 @@ def connected(edges: DataFrame) -> DataFrame:
             .filter("u != v")
             .union(least.select("u", F.col("m").alias("v")))
         )
-        e = cut(small.distinct(), "small")
+        old, e = e, cut(small.distinct(), "small")
+        drop(old, large)
         before, state = state, _state(e)
         if before == state:
             break
