@@ -257,3 +257,31 @@ def test_two_spellings_of_an_author_are_one_commit(spark):
     rows = rows.withColumn("author", F.when(F.col("new_path") == "a/X.java", "Ann").otherwise("ann"))
     (stats,) = history.commit_stats(rows).collect()
     assert (stats.author, stats.total_lines, stats.files_count, stats.java_files_count) == ("Ann", 12, 2, 2)
+
+
+def test_files_shuffle_few_wide_rows(spark):
+    """Looked-up columns lie by path: neither additions nor deletions are shuffled by their order again."""
+    events = history.file_events(changes_frame(spark, random_rows(4)))
+    forward = history.rename_edges(events, "forward")
+    for step in (history.effective_additions(events), history.deletions(events, forward), forward):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.split("\n") if "hashpartitioning(" in x]
+        assert exchanges
+        assert not [x for x in exchanges if "_at" in x.split("hashpartitioning(")[1].split(")")[0]]
+
+
+def test_a_settled_test_offers_no_other_keys(spark):
+    """Of two production files the older lies elsewhere; the first candidate in the package of the test stands."""
+    p, q = "m/src/main/java/o/a/c/", "m/src/test/java/o/a/c/"
+    rows = [
+        ("r", 1, "ADD", None, "n/src/main/java/x/Thing.java", 1),
+        ("r", 2, "ADD", None, p + "Thing.java", 1),
+        ("r", 3, "ADD", None, q + "ThingTest.java", 1),
+        ("r", 3, "ADD", None, "k/src/test/java/y/ThingTest.java", 1),
+        ("r", 4, "ADD", None, q + "NoneSuchTest.java", 1),
+    ]
+    matches = mining.analyze(changes_frame(spark, rows)).matches.collect()
+    assert {(m.test_file, m.prod_file, m.method) for m in matches} == {
+        (q + "ThingTest.java", p + "Thing.java", 0),
+        ("k/src/test/java/y/ThingTest.java", "n/src/main/java/x/Thing.java", 2),
+    }

@@ -70,3 +70,9 @@ def test_no_edges_and_no_starts(spark):
     edges = spark.createDataFrame([("r", "a", "b")], EDGES)
     assert Walks(edges).trails(starts.limit(0)).count() == 0
     assert walks.Walks(none).looped is False
+
+
+def test_single_edges_stay_out_of_the_rounds(spark):
+    edges = {f"a{i}": f"b{i}" for i in range(50)} | {"c0": "c1", "c1": "c2", "s": "s"}
+    made = check(spark, edges, ["a0", "b0", "a49", "c0", "c1", "s"])
+    assert [t.where("steps > 0 and src like 'a%'").count() for t in made.tables[1:]] == [0] * (len(made.tables) - 1)
