@@ -97,12 +97,13 @@ def fingerprint_links(prints: DataFrame, distance: int, segments: int) -> DataFr
         F.posexplode(F.array(*(_segment("fp", low, bits) for low, bits, _ in plan))).alias("segment", "key"),
     )
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    # Spark takes a table for as small as before its explode, so joins of what is exploded are never left to broadcasts.
 
     # Within one key: to the smallest fingerprint, where that is near enough.
     centre = table.groupBy("segment", "key").agg(F.min("fp").alias("centre"), F.max("fp").alias("other"))
     # Written, so that the join reads plain exchanges on both sides, which can be split where a key is crowded.
     centre = cut(centre.filter("centre != other").drop("other"), "centres")
-    stars = table.join(centre, ["segment", "key"]).filter((F.col("fp") != F.col("centre")) & near("fp", "centre"))
+    stars = table.hint("merge").join(centre, ["segment", "key"]).filter((F.col("fp") != F.col("centre")) & near("fp", "centre"))
     stars = cut(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     roots = connected(stars).withColumnRenamed("node", "fp")
 
@@ -123,8 +124,8 @@ def fingerprint_links(prints: DataFrame, distance: int, segments: int) -> DataFr
         F.explode(masks[F.col("segment")]).alias("mask"),
     )
     probes = probes.select("fp_p", "root_p", "segment_p", F.col("own").bitwiseXOR(F.col("mask")).alias("key_p"))
-    met = probes.join(
-        held,
+    met = probes.hint("merge").join(
+        held.hint("merge"),
         (F.col("segment") == F.col("segment_p"))
         & (F.col("key") == F.col("key_p"))
         & (F.col("fp_p") < F.col("fp"))

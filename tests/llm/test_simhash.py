@@ -66,6 +66,13 @@ def test_components_against_all_pairs(spark):
     assert got == want
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark):
+    # However small Spark takes the table to be: 45 lookups a fingerprint do not show in its size.
+    links = simhash.fingerprint_links(spark.createDataFrame([(n,) for n in range(9)], "fp long"), 4, 3)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chain_is_one_component(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (700, 600)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
